@@ -17,7 +17,7 @@ BUCKETS = 1 << 16
 #: The trusted sample is bounded by this many documents; their ids are broadcast.
 TRUSTED = 20_000
 #: Mean log ratio below which a text is rejected.
-THRESHOLD = -0.25
+THRESHOLD = -0.6
 SMOOTHING = 1.0
 SYMBOLS = "#*$%&|<>"
 

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import chat, decontamination, mixing, quality_rules
+from lattica.llm import chat, decontamination, mixing, near_dedup, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mixing.op1,
+        "op3_near_duplicates": near_dedup.op3,
         "op4_chat_format": chat.op4,
         "op5_quality_rules": quality_rules.op5,
         "op9_decontaminate": decontamination.op9,
