@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import chat, decontamination, mixing, near_dedup, quality_rules
+from lattica.llm import chat, decontamination, language_model, mixing, near_dedup, quality_model, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mixing.op1,
+        "op2_quality_model": quality_model.op2,
         "op3_near_duplicates": near_dedup.op3,
         "op4_chat_format": chat.op4,
         "op5_quality_rules": quality_rules.op5,
+        "op6_lm_scores": language_model.op6,
         "op9_decontaminate": decontamination.op9,
     }
 
