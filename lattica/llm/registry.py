@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import chat, decontamination, language_model, mixing, near_dedup, quality_model, quality_rules
+from lattica.llm import chat, decontamination, language_model, mixing, near_dedup, quality_model, quality_rules, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": quality_rules.op5,
         "op6_lm_scores": language_model.op6,
         "op9_decontaminate": decontamination.op9,
+        "op10_remove_repeats": substring_dedup.op10,
     }
 
 
