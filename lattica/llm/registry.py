@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import chat, decontamination, language_model, mixing, near_dedup, quality_model, quality_rules, substring_dedup
+from lattica.llm import chat, decontamination, language_model, line_dedup, mixing, near_dedup, quality_model, quality_rules, substring_dedup, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_format": chat.op4,
         "op5_quality_rules": quality_rules.op5,
         "op6_lm_scores": language_model.op6,
+        "op7_token_output": token_output.op7,
+        "op8_fuzzy_lines": line_dedup.op8,
         "op9_decontaminate": decontamination.op9,
         "op10_remove_repeats": substring_dedup.op10,
     }
