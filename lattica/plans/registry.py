@@ -1,15 +1,173 @@
-"""Names of all note-analytics queries and the DuckDB SQL each is checked against."""
+"""All note-analytics queries over a data directory. The SQL that each is checked against is in ``plans.oracle``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lattica.functions import text as T
+from lattica.operators import assist, export, graph, keywords, links, search, store, versions
+from lattica.plans import oracle
+from lattica.session import table
+from lattica.sources import notes as src
+
+#: What the search queries ask for.
+QUERY = "the and thion ouer"
+EXPANDED = ["thion", "der", "des", "que", "tion"]
+GONE = "note_id % 7 = 0"
+
+
+def _kw(spark, d):
+    return keywords.keywords(src.notes(spark, d))
+
+
+def _own(spark, d):
+    return links.own_links(_kw(spark, d))
+
+
+def _final(spark, d):
+    return links.final_links(_own(spark, d))
+
+
+def _searchable(spark, d):
+    n = src.notes(spark, d)
+    return search.with_keywords(n, keywords.keywords(n))
+
+
+def _note_graph(spark, d, k):
+    n = src.notes(spark, d)
+    kw = keywords.keywords(n)
+    return graph.note_graphs(n, kw, EXPANDED)[k]
+
+
+def _expand(spark, d):
+    n = src.notes(spark, d)
+    return graph.sub_keywords(n, keywords.keywords(n), n.select("note_id", F.explode(F.array(*map(F.lit, EXPANDED))).alias("keyword")))
+
+
+def _global(spark, d):
+    n = src.notes(spark, d)
+    kw = keywords.keywords(n)
+    return graph.global_nodes(n, kw), graph.global_edges(kw)
+
+
+def _patch(spark, d):
+    n = src.notes(spark, d).filter("note_id % 3 = 0")
+    return n.select("note_id", "user_id", F.when(F.col("note_id") % 2 == 0, F.concat(F.lit("new "), "title")).alias("title"))
+
+
+def _updated(spark, d):
+    n = src.notes(spark, d)
+    return store.updated(n, _patch(spark, d)).select("note_id", "title", F.length("content_text").cast("long").alias("n_chars"))
+
+
+def _upserted(spark, d):
+    n = src.notes(spark, d).select("note_id", "title")
+    changed = n.filter("note_id % 3 = 0").select((F.col("note_id") * 2).alias("note_id"), F.lit("changed").alias("title"))
+    return store.upserted(n, changed)
+
+
+def _tokens(stopwords, n):
+    def query(spark, d):
+        notes = src.notes(spark, d)
+        return notes.select("note_id", F.array_join(T.kept_words(F.col("content_text"), n, stopwords), " ").alias("words"))
+
+    return query
+
+
+def _taken(spark, d):
+    u = src.users(spark, d)
+    asked = u.select(F.col("user_id").alias("request_id"), F.when(F.col("user_id") % 2 == 0, F.upper("email")).otherwise("nobody@x.io").alias("email"), F.when(F.col("user_id") % 3 == 0, F.col("username")).otherwise("nobody").alias("username"))
+    return store.taken(u, asked)
+
+
+def _unlinked(spark, d):
+    own = _final(spark, d).select("note_id", "other", "strength")
+    return links.unlinked(own, own.filter("(note_id + other) % 5 = 0").select(F.col("note_id").alias("a"), F.col("other").alias("b")))
+
+
+def _deleted(spark, d):
+    gone = src.notes(spark, d).filter(GONE).select("note_id")
+    return links.without_notes(_final(spark, d).select("note_id", "other", "strength"), gone)
+
+
+def _orphans(spark, d):
+    kept = src.notes(spark, d).filter(f"NOT ({GONE})")
+    return store.orphan_versions(versions.versions(src.saves(spark, d)), kept).select("note_id", "version_number", "saved_at")
+
+
+def _llm_parse(spark, d):
+    cards = src.flashcards(spark, d)
+    raw = F.concat(F.lit("```json\n["), F.to_json(F.struct("q", "a")), F.lit("]\n```"))
+    return cards.select("conv_id", "turn", F.explode(export.parsed_cards(raw)).alias("c")).select("conv_id", "turn", "c.q", "c.a")
+
+
+def _layout(spark, d):
+    return graph.sub_places(_expand(spark, d))
+
+
+def _spacing(spark, d):
+    n = _kw(spark, d).groupBy("user_id").agg(F.count("*").alias("n"))
+    return n.select("user_id", graph.spacing(F.col("n")).cast("double").alias("whole"), graph.spacing(F.col("n") / 100, False).cast("double").alias("single"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {
+        "q_tokenise_kw": _tokens(oracle.fixed.KEYWORD_STOPWORDS, 2),
+        "q_tokenise_graph": _tokens(oracle.fixed.GRAPH_STOPWORDS, 3),
+        "q_keywords": _kw,
+        "q_keywords_corpus": lambda s, d: keywords.corpus_keywords(src.notes(s, d)),
+        "q_color_map": lambda s, d: keywords.topic_colours(src.notes(s, d), _kw(s, d)),
+        "q_links_top8": lambda s, d: _own(s, d).drop("place"),
+        "q_links_final": _final,
+        "q_links_populated": lambda s, d: links.populated(_final(s, d), src.notes(s, d)),
+        "q_related_overlap": lambda s, d: links.related(_kw(s, d)),
+        "q_unlink": _unlinked,
+        "q_delete_note": _deleted,
+        "q_note_graph_nodes": lambda s, d: _note_graph(s, d, 0),
+        "q_note_graph_edges": lambda s, d: _note_graph(s, d, 1),
+        "q_note_graph_collapsed": lambda s, d: graph.collapsed(_note_graph(s, d, 0), EXPANDED[0]),
+        "q_expand": _expand,
+        "q_sub_places": _layout,
+        "q_spacing": _spacing,
+        "q_global_nodes": lambda s, d: _global(s, d)[0],
+        "q_global_edges": lambda s, d: _global(s, d)[1],
+        "q_graph_stats": lambda s, d: graph.stats(*_global(s, d)),
+        "q_graph_highlight": lambda s, d: graph.highlighted(*_global(s, d), "thi")[1],
+        "q_search_tags": lambda s, d: search.results(search.by_tag(_searchable(s, d), "#FR")),
+        "q_search_recent": lambda s, d: search.search(_searchable(s, d)),
+        "q_search_semantic": lambda s, d: search.semantic(_searchable(s, d), QUERY).select("note_id", "score"),
+        "q_search_keyword": lambda s, d: search.relevant(_searchable(s, d), QUERY).select("note_id", "score"),
+        "q_search_regex": lambda s, d: search.results(search.matching(_searchable(s, d), "th.on", literal=False), "thion"),
+        "q_search_tagfilter": lambda s, d: search.only_tagged(search.matching(_searchable(s, d), "er"), "de,src3").select("note_id", "title"),
+        "q_snippet": lambda s, d: src.notes(s, d).select("note_id", T.snippet(F.col("content_text"), "Tion").alias("snippet")),
+        "q_versions": lambda s, d: versions.versions(src.saves(s, d)).drop("age"),
+        "q_version_list": lambda s, d: versions.listing(versions.versions(src.saves(s, d))),
+        "q_version_number": lambda s, d: versions.version(versions.versions(src.saves(s, d)), "21").select("note_id", "version_number", "saved_at"),
+        "q_orphan_versions": _orphans,
+        "q_create": lambda s, d: store.created(src.notes(s, d).withColumn("title", F.when(F.col("note_id") % 2 == 0, F.col("title")).otherwise(""))).drop("keywords"),
+        "q_update": _updated,
+        "q_upsert": _upserted,
+        "q_starred": lambda s, d: store.starred(src.notes(s, d), src.stars(s, d)).select("note_id", "title"),
+        "q_export_markdown": lambda s, d: export.markdown(src.notes(s, d)),
+        "q_export_text": lambda s, d: export.plain(src.notes(s, d)),
+        "q_export_pdf_rows": lambda s, d: export.pdf_rows(src.notes(s, d)),
+        "q_bulk_markdown": lambda s, d: export.bulk_markdown(src.notes(s, d)),
+        "q_flashcards_json": lambda s, d: export.flashcards_json(src.notes(s, d)),
+        "q_flashcards": src.flashcards,
+        "q_upload": lambda s, d: src.uploaded(src.uploads(s, d)),
+        "q_file_names": lambda s, d: src.uploads(s, d).select("note_id", T.import_stem(F.col("filename")).alias("stem"), T.extension(F.col("filename")).alias("kind")),
+        "q_preview": lambda s, d: src.notes(s, d).select("note_id", T.preview(F.col("content_text")).alias("preview")),
+        "q_tag_normalise": lambda s, d: table(s, d, "part").select("p_partkey", T.tag(F.concat(F.lit(" ##"), "p_name", F.lit(" "))).alias("tag")),
+        "q_validate_users": lambda s, d: store.user_violations(src.users(s, d).withColumn("name", F.when(F.col("user_id") % 5 == 0, "x").otherwise(F.col("name"))).withColumn("email", F.when(F.col("user_id") % 4 == 0, "bad").otherwise(F.col("email")))),
+        "q_taken": _taken,
+        "q_llm_prompt": lambda s, d: assist.prompts(src.notes(s, d), "eli5"),
+        "q_llm_parse": _llm_parse,
+        "q_llm_offline": lambda s, d: assist.answers(assist.prompts(src.notes(s, d), "flashcards")).select("note_id", "answer"),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.statements()
