@@ -29,7 +29,7 @@ def offline(prompt: str) -> str:
     head, _, notes = prompt.partition("\n\nNotes:\n")
     if "JSON array" not in head:
         return " ".join(re.split(r"(?<=[.!?])\s+", notes.strip())[:4])
-    key, value = ("term", "definition") if '"term"' in head else ("question", "answer") if '"question"' in head else ("q", "a")
+    key, value = ("term", "definition") if '{"term"' in head else ("question", "answer") if '{"question"' in head else ("q", "a")
     sentences = re.split(r"[.!?\n]+", notes)
     return json.dumps([{key: k, value: next((s.strip() for s in sentences if k in s.lower()), "")} for k in query_keywords(notes, 6)], ensure_ascii=False)
 
