@@ -4,7 +4,7 @@ Texts become token ids with a public tokenizer, an end id after each document. T
 order as frames. A frame holds whole documents: their ids and lengths, and the token ids cut to blocks of ``BLOCK`` that
 are coded independently, each with its own fresh model and a checksum.
 
-The coder is a carryless range coder with 48-bit bounds and 16-bit output. The model mixes three orders: order 2 (two ids
+The coder is a carryless range coder with 56-bit bounds and 16-bit output. The model mixes three orders: order 2 (two ids
 back) and order 1 each predict one id from hashed tables that learn as they go; the chance that either is right is counted
 for each pair of their confidences; otherwise order 0 codes the id by adaptive frequencies of its high part. All blocks
 of a frame are coded side by side, one id of each block per step, so the arithmetic runs on arrays.
@@ -30,13 +30,16 @@ from lattica.llm.common import parts_for, shared_dir
 BLOCK = 4096
 FRAME_BLOCKS = 2048
 #: Words of which a worker remembers the ids.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 MAGIC = b"LTOK"
 VERSION = 1
 
-_SLOTS = 1 << 11
+_SLOT_BITS = 10
+_SLOTS = 1 << _SLOT_BITS
 _FLAG_BITS, _HIGH_BITS, _LOW_BITS = 12, 12, 8
-_TOP, _BOTTOM, _MASK = np.uint64(1 << 32), np.uint64(1 << 24), np.uint64((1 << 48) - 1)
+_ID_BITS = _HIGH_BITS + _LOW_BITS
+_WIDTH = 56
+_TOP, _BOTTOM, _MASK = np.uint64(1 << (_WIDTH - 16)), np.uint64(1 << 38), np.uint64((1 << _WIDTH) - 1)
 _RENEW = 128
 _U = np.uint64
 
@@ -68,7 +71,7 @@ class Encoder:
         self.n, self.used = 1, 1  # entry 0 is the end id, 0
 
     def _learn(self, known: dict[str, int], words: set[str], lead: str):
-        new = sorted(words - known.keys())
+        new = list(words - known.keys())
         if not new:
             return
         if lead:  # one text for many words: no word holds a space, so a new word begins where an id does
@@ -130,12 +133,12 @@ def encoder(path: str) -> Encoder:
 
 
 class _Model:
-    """The adaptive model of many blocks, one lane each."""
+    """The adaptive model of many blocks, one lane each. A table entry is a predicted id and two bits of confidence."""
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
+        self.at = self.lane * _SLOTS
         self.table = [np.zeros(lanes * _SLOTS, np.uint32) for _ in range(2)]
-        self.trust = [np.zeros(lanes * _SLOTS, np.uint8) for _ in range(2)]
         self.hits = np.tile(np.array([[8], [4], [20]], np.int32), (1, lanes * 16))
         self.seen = np.ones((lanes, 256), np.int32)
         self.past = [np.zeros(lanes, np.uint32) for _ in range(2)]
@@ -151,26 +154,25 @@ class _Model:
         self.high_of = None
 
     def look(self, n: int):
-        """Predictions of the first ``n`` lanes: places, predicted ids, and the edges of the three choices."""
-        one, two = self.past[0][:n], self.past[1][:n]
-        mixed = one * np.uint32(2654435761)
-        at = self.lane[:n] * _SLOTS
-        self.i = [at + (mixed >> np.uint32(21)), at + ((mixed ^ two * np.uint32(2246822519)) * np.uint32(3266489917) >> np.uint32(21))]
-        self.guess = [self.table[k][self.i[k]] for k in (0, 1)]
-        self.sure = [self.trust[k][self.i[k]] for k in (0, 1)]
-        self.context = self.lane[:n] * 16 + self.sure[1] * 4 + self.sure[0]
-        h2, h1, h0 = (self.hits[k][self.context] for k in range(3))
+        """Predictions of the first ``n`` lanes, order 2 and order 1, and the edges of the three choices."""
+        mixed = self.past[0][:n] * np.uint32(2654435761)
+        both = (mixed ^ self.past[1][:n] * np.uint32(2246822519)) * np.uint32(3266489917)
+        self.i = [self.at[:n] + (h >> np.uint32(32 - _SLOT_BITS)) for h in (both, mixed)]
+        self.entry = [self.table[k][self.i[k]] for k in (0, 1)]
+        self.guess = [e >> np.uint32(2) for e in self.entry]
+        self.sure = [e & np.uint32(3) for e in self.entry]
+        self.context = self.lane[:n] * 16 + (self.sure[0] << np.uint32(2) | self.sure[1])
+        h2, h1, h0 = self.hits[:, self.context]
         total = h2 + h1 + h0
         room = (1 << _FLAG_BITS) - 3
         first = h2 * room // total + 1
-        return first, first + h1 * room // total + 1
+        return first.astype(np.int64), (first + h1 * room // total + 1).astype(np.int64)
 
     def learn(self, n: int, x: np.ndarray, choice: np.ndarray):
+        fresh = x << np.uint32(2)
         for k in (0, 1):
-            right = self.guess[k] == x
-            c = self.sure[k]
-            self.table[k][self.i[k]] = np.where(right | (c > 0), self.guess[k], x)
-            self.trust[k][self.i[k]] = np.where(right, np.minimum(c + 1, 3), np.maximum(c, 1) - 1)
+            e, c = self.entry[k], self.sure[k]
+            self.table[k][self.i[k]] = np.where(self.guess[k] == x, e + (c < 3), np.where(c > 0, e - np.uint32(1), fresh))
         self.hits.ravel()[choice * self.hits.shape[1] + self.context] += 12
         self.seen.ravel()[self.lane[:n] * 256 + (x >> np.uint32(_LOW_BITS))] += 24
         self.past[1][:n] = self.past[0][:n]
@@ -182,24 +184,38 @@ class _Model:
             self._renew()
 
 
-def _shrink(low, span, start, size, bits):
-    """Bounds of the part (start, size) of 2**bits."""
-    unit = span >> _U(bits)
-    return low + start.astype(np.uint64) * unit, size.astype(np.uint64) * unit
+def _part(model: _Model, x: np.ndarray, choice: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of the coded ids in 2**32: the choice, and within the last choice order 0's high part and the rest."""
+    start = np.where(choice == 0, 0, first) << _ID_BITS
+    size = np.where(choice == 0, first, second - first) << _ID_BITS
+    e = np.flatnonzero(choice == 2)
+    high, rest = (x[e] >> np.uint32(_LOW_BITS)).astype(np.int64), (x[e] & np.uint32((1 << _LOW_BITS) - 1)).astype(np.int64)
+    a = model.edges[e, high]
+    f = model.edges[e, high + 1] - a
+    room = (1 << _FLAG_BITS) - second[e]
+    start[e] = (second[e] << _ID_BITS) + ((a << _LOW_BITS) + rest * f) * room
+    size[e] = f * room
+    return start, size
+
+
+def _narrow(low, span, start, size):
+    unit = span >> _U(_FLAG_BITS + _ID_BITS)
+    low += start.astype(np.uint64) * unit
+    span[:] = size.astype(np.uint64) * unit
 
 
 def _settle(low, span, put):
     """Shift out what is decided; ``put`` gets the lanes that shift, each time."""
-    while True:
-        decided = (low ^ (low + span)) < _TOP
-        go = np.flatnonzero(decided | (span < _BOTTOM))
-        if not len(go):
-            return
-        cramped = go[~decided[go]]
-        span[cramped] = (~low[cramped] + _U(1)) & (_BOTTOM - _U(1))
-        put(go, low)
-        low[go] = low[go] << _U(16) & _MASK
-        span[go] <<= _U(16)
+    go = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _BOTTOM))
+    while len(go):
+        lo, sp = low[go], span[go]
+        cramped = (lo ^ (lo + sp)) >= _TOP
+        if cramped.any():
+            sp = np.where(cramped, (~lo + _U(1)) & (_BOTTOM - _U(1)), sp)
+        put(go, lo)
+        lo, sp = lo << _U(16) & _MASK, sp << _U(16)
+        low[go], span[go] = lo, sp
+        go = go[((lo ^ (lo + sp)) < _TOP) | (sp < _BOTTOM)]
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
@@ -212,42 +228,27 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     last = len(ids) - (lanes - 1) * BLOCK
     steps = np.ascontiguousarray(np.concatenate([ids.astype(np.uint32), np.zeros(lanes * BLOCK - len(ids), np.uint32)]).reshape(lanes, BLOCK).T)
     model = _Model(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _MASK, np.uint64)
     out, size = np.zeros((lanes, 2 * BLOCK + 64), np.uint16), np.zeros(lanes, np.int64)
 
-    def put(lanes_, low_):
-        out[lanes_, size[lanes_]] = low_[lanes_] >> _U(32)
-        size[lanes_] += 1
+    def put(g, lo):
+        out[g, size[g]] = lo >> _U(_WIDTH - 16)
+        size[g] += 1
 
     for t in range(BLOCK if lanes > 1 else last):
         n = lanes if t < last else lanes - 1
         x = steps[t, :n]
         first, second = model.look(n)
-        choice = np.where(model.guess[1] == x, 0, np.where(model.guess[0] == x, 1, 2))
-        start = np.where(choice == 0, 0, np.where(choice == 1, first, second))
-        end = np.where(choice == 0, first, np.where(choice == 1, second, 1 << _FLAG_BITS))
-        low[:n], span[:n] = _shrink(low[:n], span[:n], start, end - start, _FLAG_BITS)
+        choice = np.where(model.guess[0] == x, 0, np.where(model.guess[1] == x, 1, 2))
+        _narrow(low[:n], span[:n], *_part(model, x, choice, first, second))
         _settle(low[:n], span[:n], put)
-        e = np.flatnonzero(choice == 2)
-        if len(e):
-            high, rest = x[e] >> np.uint32(_LOW_BITS), (x[e] & np.uint32((1 << _LOW_BITS) - 1)).astype(np.int64)
-            a = model.edges[e, high]
-            f = model.edges[e, high + 1] - a
-            lo, sp = _shrink(low[e], span[e], (a << _LOW_BITS) + rest * f, f, _HIGH_BITS + _LOW_BITS)
-            _settle(lo, sp, lambda g, v, e=e: put_some(e, g, v, out, size))
-            low[e], span[e] = lo, sp
         model.learn(n, x, choice)
-    for shift in (32, 16, 0):
-        out[np.arange(lanes), size] = low >> _U(shift) & _U(0xFFFF)
-        size += 1
+    for shift in range(_WIDTH - 16, -1, -16):
+        put(model.lane, low >> _U(shift) << _U(_WIDTH - 16) & _MASK)
+    put(model.lane, low << _U(_WIDTH - 8) & _MASK)
     return [out[i, : size[i]].astype("<u2").tobytes() for i in range(lanes)]
 
 
-def put_some(e, g, low, out, size):
-    out[e[g], size[e[g]]] = low[g] >> _U(32)
-    size[e[g]] += 1
-
-
 def decode_blocks(blocks: list[bytes], total: int) -> np.ndarray:
     """The ids of blocks that :func:`encode_blocks` made."""
     lanes = len(blocks)
@@ -257,42 +258,40 @@ def decode_blocks(blocks: list[bytes], total: int) -> np.ndarray:
     words = np.zeros((lanes, max(map(len, blocks)) // 2 + 8), np.uint64)
     for i, b in enumerate(blocks):
         words[i, : len(b) // 2] = np.frombuffer(b, "<u2")
-    at = np.full(lanes, 3)
     model = _Model(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
-    code = words[:, 0] << _U(32) | words[:, 1] << _U(16) | words[:, 2]
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _MASK, np.uint64)
+    code, at = np.zeros(lanes, np.uint64), np.zeros(lanes, np.int64)
     ids = np.zeros((BLOCK, lanes), np.uint32)
-    every = np.arange(lanes)
+
+    code |= words[:, 0] << _U(_WIDTH - 16) | words[:, 1] << _U(_WIDTH - 32) | words[:, 2] << _U(_WIDTH - 48)
+    code |= words[:, 3] >> _U(8)
+    late = words[:, 3].copy()  # the width isn't a multiple of 16: half a word is always ahead
+    at += 4
 
     def take(g, _):
-        code[g] = (code[g] << _U(16) & _MASK) | words[g, at[g]]
+        code[g] = (code[g] << _U(16) & _MASK) | (late[g] & _U(0xFF)) << _U(8)
+        late[g] = words[g, at[g]]
+        code[g] |= late[g] >> _U(8)
         at[g] += 1
 
     for t in range(BLOCK if lanes > 1 else last):
         n = lanes if t < last else lanes - 1
         first, second = model.look(n)
-        v = ((code[:n] - low[:n]) // (span[:n] >> _U(_FLAG_BITS))).astype(np.int64)
-        choice = (v >= first).astype(np.int64) + (v >= second)
-        start = np.where(choice == 0, 0, np.where(choice == 1, first, second))
-        end = np.where(choice == 0, first, np.where(choice == 1, second, 1 << _FLAG_BITS))
-        low[:n], span[:n] = _shrink(low[:n], span[:n], start, end - start, _FLAG_BITS)
-        _settle(low[:n], span[:n], take)
-        x = np.where(choice == 0, model.guess[1], model.guess[0])
+        v = ((code[:n] - low[:n]) // (span[:n] >> _U(_FLAG_BITS + _ID_BITS))).astype(np.int64)
+        flag = v >> _ID_BITS
+        choice = (flag >= first).astype(np.int64) + (flag >= second)
+        x = np.where(choice == 0, model.guess[0], model.guess[1])
         e = np.flatnonzero(choice == 2)
         if len(e):
             if model.high_of is None:
                 model.high_of = np.repeat(np.tile(np.arange(256, dtype=np.uint8), lanes), np.diff(model.edges, axis=1).ravel()).reshape(lanes, -1)
-            v = ((code[e] - low[e]) // (span[e] >> _U(_HIGH_BITS + _LOW_BITS))).astype(np.int64)
-            v = np.minimum(v, (1 << (_HIGH_BITS + _LOW_BITS)) - 1)
-            high = model.high_of[e, v >> _LOW_BITS].astype(np.int64)
+            inner = (v[e] - (second[e] << _ID_BITS)) // ((1 << _FLAG_BITS) - second[e])
+            inner = np.minimum(inner, (1 << _ID_BITS) - 1)
+            high = model.high_of[e, inner >> _LOW_BITS].astype(np.int64)
             a = model.edges[e, high]
-            f = model.edges[e, high + 1] - a
-            rest = (v - (a << _LOW_BITS)) // f
-            lo, sp = _shrink(low[e], span[e], (a << _LOW_BITS) + rest * f, f, _HIGH_BITS + _LOW_BITS)
-            some = every[e]
-            _settle(lo, sp, lambda g, _, some=some: take(some[g], _))
-            low[e], span[e] = lo, sp
-            x[e] = high << _LOW_BITS | rest
+            x[e] = high << _LOW_BITS | (inner - (a << _LOW_BITS)) // (model.edges[e, high + 1] - a)
+        _narrow(low[:n], span[:n], *_part(model, x, choice, first, second))
+        _settle(low[:n], span[:n], take)
         ids[t, :n] = x
         model.learn(n, x, choice)
     return ids.T.ravel()[:total] if lanes > 1 else ids[:total, 0]
