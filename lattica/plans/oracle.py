@@ -186,6 +186,16 @@ def statements() -> dict[str, str]:
         "q_validate_users": """SELECT c_custkey AS user_id, 'name too short' AS rule FROM customer WHERE c_custkey % 5 = 0
             UNION ALL SELECT c_custkey, 'email malformed' FROM customer WHERE c_custkey % 4 = 0 OR NOT regexp_matches(lower(c_name) || '@x.io', '^\\S+@\\S+\\.\\S+$')""",
         "q_taken": "SELECT c_custkey AS request_id, CASE WHEN c_custkey % 2 = 0 THEN 'Email' ELSE 'Username' END AS field FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",
+        "q_display_names": "SELECT c_custkey AS user_id, coalesce(nullif(c_mktsegment, ''), c_name) AS display_name, upper(substr(coalesce(nullif(c_mktsegment, ''), c_name), 1, 1)) AS avatar FROM customer",
+        "q_tag_pills": f"WITH {NOTES} SELECT note_id, '#' || array_to_string(list_filter(tags, lambda t: t <> ''), '|#') AS pills FROM notes",
+        "q_card_deck": f"""WITH {CARDS} SELECT conv_id, turn, coalesce(lag(turn) OVER w, max(turn) OVER (PARTITION BY conv_id)) AS previous,
+            coalesce(lead(turn) OVER w, min(turn) OVER (PARTITION BY conv_id)) AS next FROM cards WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+        "q_commands": "SELECT * FROM (VALUES ('todo', 'Todo List'), ('graph', 'Graph Link')) v(id, title)",
+        "q_coloured_edges": f"WITH {GLOBAL} SELECT e.user_id, e.id, colour FROM gedges e LEFT JOIN (SELECT user_id, id, colour FROM gnodes WHERE type = 'note') n ON n.user_id = e.user_id AND n.id = e.source",
+        "q_importance": f"WITH {graph} SELECT note_id, keyword, floor(kw_score * 100 + 0.5)::INT AS percent FROM gs",
+        "q_note_counts": "SELECT source AS user_id, count(*) AS notes FROM documents GROUP BY 1",
+        "q_notes_newest": f"WITH {NOTES} SELECT user_id, note_id, title, updated_at, (row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, note_id))::INT AS place FROM notes",
+        "q_note_by_owner": f"WITH {NOTES} SELECT note_id, title FROM notes WHERE note_id = 7 AND user_id = 'src7'",
         "q_llm_prompt": f"WITH {NOTES} SELECT note_id, 'eli5' AS feature, '{fixed.PROMPTS['eli5']}' || chr(10) || chr(10) || 'Notes:' || chr(10) || content_text AS prompt FROM notes WHERE trim(content_text) <> ''",
         "q_llm_parse": f"WITH {CARDS} SELECT * FROM cards",
     }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import text as T
-from lattica.operators import assist, export, graph, keywords, links, search, store, versions
+from lattica.operators import assist, export, graph, keywords, links, search, store, versions, views
 from lattica.plans import oracle
 from lattica.session import table
 from lattica.sources import notes as src
@@ -163,6 +163,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_tag_normalise": lambda s, d: table(s, d, "part").select("p_partkey", T.tag(F.concat(F.lit(" ##"), "p_name", F.lit(" "))).alias("tag")),
         "q_validate_users": lambda s, d: store.user_violations(src.users(s, d).withColumn("name", F.when(F.col("user_id") % 5 == 0, "x").otherwise(F.col("name"))).withColumn("email", F.when(F.col("user_id") % 4 == 0, "bad").otherwise(F.col("email")))),
         "q_taken": _taken,
+        "q_display_names": lambda s, d: views.display_names(src.users(s, d)),
+        "q_tag_pills": lambda s, d: views.pills(src.notes(s, d)),
+        "q_card_deck": lambda s, d: views.deck(views.tidy_cards(src.flashcards(s, d))),
+        "q_commands": lambda s, d: views.commands(s, "/LI").select("id", "title"),
+        "q_coloured_edges": lambda s, d: views.coloured_edges(*_global(s, d)).select("user_id", "id", "colour"),
+        "q_importance": lambda s, d: views.importance(graph.keyword_scores(src.notes(s, d), _kw(s, d))),
+        "q_note_counts": lambda s, d: views.counts(src.notes(s, d)),
+        "q_notes_newest": lambda s, d: views.newest_first(src.notes(s, d)),
+        "q_note_by_owner": lambda s, d: store.owned(src.notes(s, d), 7, "src7").select("note_id", "title"),
         "q_llm_prompt": lambda s, d: assist.prompts(src.notes(s, d), "eli5"),
         "q_llm_parse": _llm_parse,
         "q_llm_offline": lambda s, d: assist.answers(assist.prompts(src.notes(s, d), "flashcards")).select("note_id", "answer"),
