@@ -313,7 +313,7 @@ def test_fuzzy_lines(spark, none):
 def test_simhash_is_the_majority(spark):
     import xxhash
 
-    lines = spark.createDataFrame([(1, "a b c d e"), (2, "x x y")], "class long, norm string")
+    lines = spark.createDataFrame([(1, list("abcde")), (2, list("xxy"))], "class long, words array<string>")
     for r in line_dedup.simhashes(lines).collect():
         h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in {1: "abcde", 2: "xxy"}[r["class"]]]
         assert r.sim % 2**64 == sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
