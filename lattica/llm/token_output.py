@@ -28,9 +28,9 @@ from lattica.llm.common import parts_for, shared_dir
 
 #: Ids per block, and blocks per frame.
 BLOCK = 4096
-FRAME_BLOCKS = 2048
+FRAME_BLOCKS = 1536
 #: Words of which a worker remembers the ids.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 MAGIC = b"LTOK"
 VERSION = 1
 
