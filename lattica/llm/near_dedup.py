@@ -7,6 +7,10 @@ of all classes, by the signature rotated to start at that tree's own hashes. Nei
 with the longest common prefix, so the depth at which classes meet adapts to each region. The orders are made by range
 partitioning, which cuts a hot region into many tasks; what lies around a cut is compared afterwards.
 
+What these neighbours leave is compared too: where more classes agree on the leading hashes than neighbours can cover, and
+they are not one component yet, all pairs of two components are held against each other by whole signature. Such a bucket is
+cut into chunks, and each two chunks meet in a task of their own.
+
 Candidates whose signatures agree too little are dropped at a level that a true pair misses about once in 100,000 times.
 The others are confirmed on full sets, in rounds that leave out what earlier rounds have already joined.
 """
@@ -31,6 +35,10 @@ DEPTH = 5
 REACH = 2
 #: Hashes of a sorted order's key, two bytes each.
 KEY_HASHES = 10
+#: Classes of a crowded bucket that stand in one chunk; a task holds two chunks.
+CHUNK = 2048
+#: Pairs whose signatures are compared at a time.
+AT_A_TIME = 1 << 15
 #: Ids of documents to be confirmed are broadcast up to so many (8 bytes each); beyond, texts are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -149,6 +157,75 @@ def candidates(classes: DataFrame, parts: int, depth: int = DEPTH) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long, agree int")
 
 
+def _cell_pairs(ids, component, n, sigs, side, tree: int, percent: int, depth: int):
+    """Pairs (a, b, agree) of one cell: of two components, near in size, agreeing enough, and in no earlier tree's bucket together."""
+    rows = max(1, AT_A_TIME // len(ids))
+    across = side.min() != side.max()
+    for at in range(0, len(ids), rows):
+        i = slice(at, at + rows)
+        fit = component[i, None] != component[None, :]
+        fit &= 100 * np.minimum(n[i, None], n[None, :]) >= percent * np.maximum(n[i, None], n[None, :])
+        fit &= side[i, None] < side[None, :] if across else np.arange(at, min(at + rows, len(ids)))[:, None] < np.arange(len(ids))[None, :]
+        x, y = np.nonzero(fit)
+        if not len(x):
+            continue
+        x += at
+        same = sigs[x] == sigs[y]
+        agree = np.count_nonzero(same, axis=1) * 100 // same.shape[1]
+        good = agree >= percent - 17
+        x, y, agree, led = x[good], y[good], agree[good], same[good].reshape(-1, TREES, DEPTH)[:, : tree + 1, :depth].all(axis=2)
+        here = led[:, tree] & ~led[:, :tree].any(axis=1)
+        x, y = ids[x[here]], ids[y[here]]
+        yield np.minimum(x, y), np.maximum(x, y), agree[here].astype(np.int32)
+
+
+def crowded(classes: DataFrame, percent: int, depth: int) -> DataFrame:
+    """All pairs (a < b, agree) of classes (id, sig, n, component) of two components that meet in a bucket too large for neighbours.
+
+    A bucket holds the classes that agree on the first ``depth`` hashes of a tree. Each pair comes once, from its first tree.
+    """
+    rows = classes.select("id", "component", "sig", F.expr(f"explode(sequence(0, {TREES - 1}))").alias("tree"))
+    key = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.expr(f"substring(sig, 1 + tree * {2 * DEPTH}, {2 * depth})"))
+    rows = rows.select(key.alias("key"), "id", "component")
+    size = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
+    size = written(size.filter((F.col("members") > REACH + 1) & (F.col("low") < F.col("high"))).select("key", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks")), "crowded")
+    dealt = rows.select("key", "id").join(size, "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.expr("explode(sequence(0, chunks - 1))"))
+    dealt = dealt.select("key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "id")
+    dealt = dealt.join(classes.select("id", "component", "n", "sig"), "id")
+    cells = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").select("key", "x", "y", "side", "id", "component", "n", "sig")
+
+    def compare(batches):
+        last, held = None, []
+
+        def pairs():
+            whole = pa.concat_tables(held).combine_chunks()
+            if whole.num_rows < 2:
+                return
+            side, ids, component, n = (whole.column(c).to_numpy() for c in ("side", "id", "component", "n"))
+            sigs = np.frombuffer(b"".join(whole.column("sig").to_pylist()), np.uint16).reshape(whole.num_rows, -1)
+            if last[1] != last[2] and side.min() == side.max():
+                return
+            for a, b, agree in _cell_pairs(ids, component, n, sigs, side, last[0][0], percent, depth):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(agree)], names=["a", "b", "agree"])
+
+        for batch in batches:
+            cell = list(zip(*(batch.column(c).to_pylist() for c in ("key", "x", "y")), strict=True))
+            starts = [k for k in range(len(cell)) if not k or cell[k] != cell[k - 1]]
+            table = pa.Table.from_batches([batch])
+            for begin, end in zip(starts, [*starts[1:], len(cell)], strict=True):
+                if cell[begin] != last and held:
+                    yield from pairs()
+                    held = []
+                last = cell[begin]
+                held.append(table.slice(begin, end - begin))
+        if held:
+            yield from pairs()
+
+    return cells.mapInArrow(compare, "a long, b long, agree int")
+
+
 def set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, hashes) of the documents in ``ids``: whole sets, as sorted 64-bit numbers."""
     wanted = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
@@ -187,21 +264,13 @@ def _best(pairs: DataFrame, *by: str) -> DataFrame:
     return pairs.groupBy(*by).agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text).
-
-    Documents are linked if the Jaccard similarity of their sets is at least ``percent`` in a hundred. Null, empty and
-    blank texts have the empty set and are linked with nothing; a null doc_id is linked with nothing either, has a null
-    component_id and is kept. Rows that repeat a doc_id are one document. An empty table gives no rows.
-    """
-    parts = parts_for(docs)
-    sigs = written(signed(docs), "signatures")
-    classes = sigs.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
-    classes = written(classes, "classes")
-    pairs = written(candidates(classes.select("id", "sig").dropDuplicates(["id"]), parts, least_depth(percent)).filter(F.col("agree") >= percent - 17), "pairs")
+def joined(docs: DataFrame, pairs: DataFrame, links: DataFrame | None, label: DataFrame | None, percent: int):
+    """``links`` and their components ``label`` with all confirmed ``pairs`` (a, b, agree) added; and the tables they need no more."""
+    if pairs.isEmpty():
+        return links, label, []
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = written(set_table(docs, ids), "sets")
-    links, label, left, tables = None, None, pairs, [pairs, sets]
+    left, tables = pairs, [sets]
     for turn in range(3):
         if left.isEmpty():
             break
@@ -221,6 +290,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         left = left.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).filter("ca <> cb")
         left = written(left.select("a", "b", "agree", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")), "left")
         tables += [left, checked]
+    return links, label, tables
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text).
+
+    Documents are linked if the Jaccard similarity of their sets is at least ``percent`` in a hundred. Null, empty and
+    blank texts have the empty set and are linked with nothing; a null doc_id is linked with nothing either, has a null
+    component_id and is kept. Rows that repeat a doc_id are one document. An empty table gives no rows.
+    """
+    parts = parts_for(docs)
+    sigs = written(signed(docs), "signatures")
+    classes = sigs.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    classes = written(classes, "classes")
+    pairs = written(candidates(classes.select("id", "sig").dropDuplicates(["id"]), parts, least_depth(percent)).filter(F.col("agree") >= percent - 17), "pairs")
+    links, label, tables = joined(docs, pairs, None, None, percent)
+    component = classes.select("id", "sig", "n") if label is None else classes.select("id", "sig", "n").join(label, "id", "left")
+    component = component.withColumn("component", F.col("id") if label is None else F.coalesce("component", "id"))
+    more = crowded(written(component.dropDuplicates(["id"]), "classes"), percent, least_depth(percent))
+    more = written(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    links, label, spent = joined(docs, more, links, label, percent)
+    tables += [pairs, more, *spent]
     member = classes.select("digest", "id")
     if label is not None:
         member = member.join(label, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))

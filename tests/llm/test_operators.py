@@ -139,6 +139,28 @@ def test_near_duplicates(docs, percent):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id, r.kept) for r in got) == want
 
 
+def test_all_pairs_of_a_crowd_meet(spark, monkeypatch):
+    """Signatures of many siblings below the threshold, each with a partner; components of ten ids need no comparing within."""
+    monkeypatch.setattr(near_dedup, "CHUNK", 40)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 16, 100, np.uint16)
+    sigs = np.where(rng.random((200, 100)) < 0.15, rng.integers(0, 1 << 16, (200, 100), np.uint16), base)
+    sigs[100:] = np.where(rng.random((100, 100)) < 0.1, rng.integers(0, 1 << 16, (100, 100), np.uint16), sigs[:100])
+    group = [i if i >= 20 else i // 10 for i in range(200)]
+    want = {}
+    for i in range(200):
+        for j in range(i + 1, 200):
+            same = sigs[i] == sigs[j]
+            if same.sum() >= 68 and same.reshape(20, 5).all(axis=1).any() and group[i] != group[j]:
+                want[i, j] = int(same.sum())
+    rows = spark.createDataFrame([(i, bytearray(sigs[i].tobytes()), 100, group[i]) for i in range(200)], "id long, sig binary, n long, component long")
+    near = {(r.a, r.b) for r in near_dedup.candidates(rows.select("id", "sig"), 3).collect()}
+    more = near_dedup.crowded(rows, 85, 5).collect()
+    got = {(r.a, r.b): r.agree for r in more}
+    assert len(got) == len(more) and got.items() <= want.items()
+    assert set(want) - near and set(want) <= near | set(got)
+
+
 def test_near_duplicates_of_nothing(none):
     assert near_dedup.near_duplicates(none).count() == 0
 
