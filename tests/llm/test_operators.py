@@ -332,6 +332,20 @@ def test_fuzzy_lines(spark, none):
     assert line_dedup.drop_lines(none).count() == 0
 
 
+def test_all_lines_of_a_crowd_meet(spark, monkeypatch):
+    """Hashes of one bucket: every pair of two groups within three bits meets, in one chunk or in several."""
+    rng = random.Random(9)
+    sims = {i: sum(1 << k for k in rng.sample(range(20), 2)) for i in range(60)}
+    rows = spark.createDataFrame([(i, s, i // 3) for i, s in sims.items()], "class long, sim long, `group` long")
+    near = {(r.a, r.b) for r in line_dedup.candidates(rows).collect()}
+    want = {(i, j) for i in sims for j in sims if i < j and i // 3 != j // 3 and (sims[i] ^ sims[j]).bit_count() <= line_dedup.BITS_APART}
+    assert want - near
+    for chunk in (4096, 7):
+        monkeypatch.setattr(line_dedup, "CHUNK", chunk)
+        got = [(r.a, r.b) for r in line_dedup.crowded(rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_simhash_is_the_majority(spark):
     import xxhash
 
