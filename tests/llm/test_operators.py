@@ -324,35 +324,104 @@ def test_fuzzy_lines(spark, none):
         (5, ""),
         (None, long_line),
     ]
-    got = {r.doc_id: r for r in line_dedup.drop_lines(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, line_gone2 string")).collect()}
-    assert got[1].text == rows[1][1] and got[1].line_removed == 0
+    got = {r.doc_id: r for r in line_dedup.drop_lines(spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id long, text string, line_gone string, other string, line_count string")).collect()}
+    assert got[1].text == rows[1][1] and got[1].line_removed == 0 and got[1].line_count == 3 and got[1].other == "y"
     assert got[3].text == "short line\nshort line" and got[3].line_removed == 1
     assert got[4].text is None and got[5].text == "" and got[None].text == long_line
     assert got[2].text.endswith("ever said")
     assert line_dedup.drop_lines(none).count() == 0
 
 
+def test_long_and_repeated_lines(spark):
+    """Lines too long for edit distance, alike or not, on repeated rows; digits tell lines apart exactly, not fuzzily."""
+    rng = random.Random(12)
+    huge = prose(rng, 16_000)
+    rows = [(1, huge), (2, huge.replace("alpha", "changed", 9)), (2, huge.replace("alpha", "changed", 9)), (3, prose(rng, 16_000)), (4, "one two three four 5\none two three four 5\nOne, two three four 5")]
+    got = {(r.doc_id, r.line_removed) for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 0), (2, 1), (3, 0), (4, 2)}
+
+
+def edits(a, b):
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        last = row
+    return last[-1]
+
+
+def alike(a, b):
+    longer = max(len(a), len(b))
+    return abs(len(a) - len(b)) <= longer * 20 // 100 and edits(a, b) <= longer * 20 // 100
+
+
+def test_changed_lines_are_found(spark):
+    """Recall by length of line: one word changed, dropped or mistyped; pairs that brute force finds alike count."""
+    rng = random.Random(21)
+    words_ = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) for _ in range(3000)] + ["the", "of", "and"] * 300
+    rows, pairs = [], {}
+    for n in (5, 8, 12, 13, 20, 40, 80):
+        for k in range(45):
+            w = rng.choices(words_, k=n)
+            i, x = rng.randrange(n), list(w)
+            x[i : i + 1] = [[rng.choice(words_)], [], [x[i] + "x"]][k % 3]
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(x))]
+            if len(x) >= line_dedup.MIN_WORDS and alike(rows[-2][1], rows[-1][1]):
+                pairs.setdefault(n, []).append(rows[-1][0])
+    got = {r.doc_id: r.line_removed for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[i] for i, _ in rows[::2])
+    for n, found in pairs.items():
+        assert sum(got[i] for i in found) >= 0.9 * len(found), n
+    again = {r.doc_id: r.line_removed for r in line_dedup.drop_lines(spark.createDataFrame(rows[::-1], "doc_id long, text string")).collect()}
+    assert again == got
+
+
+def test_lines_of_documents(spark, sf):
+    """All pairs of lines up to 600 characters of a whole table, by brute force."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    lines = line_dedup.classes_of(line_dedup.lines_of(docs)).select("class", F.array_join("words", " ").alias("norm")).filter("length(norm) <= 600")
+    classes = spark.createDataFrame(lines.collect()).repartition(8).cache()
+    other = classes.select(F.col("class").alias("other"), F.col("norm").alias("text"))
+    both = classes.crossJoin(other).filter("class < other").withColumn("edits", F.floor(F.greatest(F.length("norm"), F.length("text")) * 0.2).cast("int"))
+    close = both.filter("abs(length(norm) - length(text)) <= edits").filter(F.expr("levenshtein(norm, text, edits) >= 0"))
+    want = {frozenset((r["class"], r["other"])) for r in close.select("class", "other").collect()}
+    sims = line_dedup.described(line_dedup.classes_of(line_dedup.lines_of(docs))).cache()
+    shared = line_dedup.shared_buckets(sims).cache()
+    pairs = line_dedup.candidates(shared).unionByName(line_dedup.crowded(shared, None)).distinct()
+    links = line_dedup.verified(pairs, docs, sims)
+    got = {frozenset(r) for r in links.collect()}
+    small = {r["class"] for r in classes.select("class").collect()}
+    assert len(want) > 20 and len(want & got) >= 0.9 * len(want)
+    assert {x for x in got if x <= small} <= want
+
+
 def test_all_lines_of_a_crowd_meet(spark, monkeypatch):
-    """Hashes of one bucket: every pair of two groups within three bits meets, in one chunk or in several."""
+    """Hashes of one bucket: every pair of two groups within the bound meets, in one chunk or in several."""
     rng = random.Random(9)
-    sims = {i: sum(1 << k for k in rng.sample(range(20), 2)) for i in range(60)}
-    rows = spark.createDataFrame([(i, s, i // 3) for i, s in sims.items()], "class long, sim long, `group` long")
-    near = {(r.a, r.b) for r in line_dedup.candidates(rows).collect()}
+    sims = {i: sum(1 << k for k in rng.sample(range(60), 16)) for i in range(60)}
+    rows = spark.createDataFrame([(i, s, [7]) for i, s in sims.items()], "class long, sim long, keys array<long>")
+    label = spark.createDataFrame([(i, i // 3) for i in sims], "class long, `group` long")
+    shared = line_dedup.shared_buckets(rows).cache()
+    near = {(r.a, r.b) for r in line_dedup.candidates(shared).collect()}
     want = {(i, j) for i in sims for j in sims if i < j and i // 3 != j // 3 and (sims[i] ^ sims[j]).bit_count() <= line_dedup.BITS_APART}
     assert want - near
     for chunk in (4096, 7):
         monkeypatch.setattr(line_dedup, "CHUNK", chunk)
-        got = [(r.a, r.b) for r in line_dedup.crowded(rows).collect()]
+        got = [(r.a, r.b) for r in line_dedup.crowded(shared, label).collect()]
         assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_simhash_is_the_majority(spark):
     import xxhash
 
-    lines = spark.createDataFrame([(1, list("abcde")), (2, list("xxy"))], "class long, words array<string>")
-    for r in line_dedup.simhashes(lines).collect():
-        h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in {1: "abcde", 2: "xxy"}[r["class"]]]
-        assert r.sim % 2**64 == sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+    texts = {1: "a b c d e", 2: "x x y z q"}
+    lines = line_dedup.lines_of(spark.createDataFrame(list(texts.items()) * 2, "doc_id long, text string"))
+    got = line_dedup.described(line_dedup.classes_of(lines)).collect()
+    assert len(got) == 2
+    for r in got:
+        h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in texts[r.doc_id].split()]
+        assert r.n == 2 and r.sim % 2**64 == sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
 
 
 # ---- 9
