@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,17 +11,19 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` cuts UTF-8 text at exactly the same places.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_SHARED = "/tmp/checkpoints"
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
+    """The folder that driver and executors share, as the session names it.
+
+    Without one, a session on one machine uses a folder of its own there; on a cluster it is an error, for executors
+    would write tables that others can't see.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        spark.conf.set("spark.checkpoint.dir", LOCAL_SHARED)
-        named = LOCAL_SHARED
-    return named
+    if named:
+        return named
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{tempfile.gettempdir()}/lattica-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
@@ -42,15 +45,22 @@ def forget(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``; for files it is their length."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of ``df``: the length of its files where its plan reads files and no more than drops columns or rows; else the
+    bytes of its strings, counted in a pass, as Catalyst has no estimate then, or one of many times the true size."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().apply(0)
+    if plan.nodeName().startswith("LogicalRelation"):
+        return int(str(plan.stats().sizeInBytes()))
+    strings = [F.coalesce(F.sum(F.octet_length(f.name)), F.lit(0)) for f in df.schema if f.dataType.simpleString() == "string"]
+    return int(df.agg(sum(strings, F.lit(0)).alias("n")).first()["n"]) if strings else 0
 
 
 def parts_for(df: DataFrame, mb: int = 16) -> int:
     """Partitions so that each holds about ``mb`` MB of input, never fewer than the session's shuffle partitions."""
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(shuffle, min(200_000, -(-estimated_bytes(df) // (mb << 20))))
+    return max(shuffle, min(200_000, -(-input_bytes(df) // (mb << 20))))
 
 
 def words_in(text: Column) -> Column:
