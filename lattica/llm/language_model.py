@@ -1,15 +1,20 @@
 """Operator 6, LM scoring: a weighted backoff automaton over smoothed n-grams of the corpus.
 
-States are the empty history and every word seen as a history (and the start of a text). From state h an arc for each
-word w that followed h in training weighs log10 of l(h) c(hw) / c(h) + (1 - l(h)) P(w); any other word takes the failure
-arc, log10(1 - l(h)), to the empty history and goes on with P(w) = (c(w) + 1) / (N + V + 1). The weight l(h) =
-``TRUST`` c(h) / (c(h) + ``DOUBT``) makes each state's probabilities add up to 1. One left-to-right traversal of a text
-carries the state and adds up the weights.
+States are histories: the empty one, the start of a text, every word and every pair of words that training has at least
+twice as a history. From state h an arc for each word w that followed h in training weighs log10 of
+P(w | h) = l(h) c(hw) / c(h) + (1 - l(h)) P(w | h'), where h' is h without its first word, l(h) = (c(h) - 1) / (c(h) - 1 +
+``DOUBT``), and P(w) = (c(w) + 1) / (N + V + 1) at the empty history. It leads to the longest history that ends in w. Any other
+word takes the failure arc, log10(1 - l(h)), to h' and is tried there. So each state's probabilities add up to 1. One
+left-to-right traversal of a text carries the state and adds up the weights.
 
 The model grows with the corpus, so no task holds it whole. Documents are dealt to blocks; a block asks, once for each
 distinct n-gram it has, the shard that owns the n-gram's hash, and hands on its own training counts with the request. A
-shard adds the counts of all blocks and answers each block in the order of its request. The block then has just the arcs
-that its texts can take. A frequent n-gram is asked once per block, so no key is hot. Requests and answers are packed.
+shard adds the counts of all blocks and answers each block in the order of its request; N and V add up over shards. The block then builds just the
+part of the automaton that its texts can reach. A frequent n-gram is asked once per block, so no key is hot. Requests go
+only to shards that a block needs, so there are never more rows than n-grams; hashes are sorted and packed as differences.
+
+Words are told apart by 64 bits. Longer n-grams are told apart by 48 bits and their shard's; as shards grow in number with
+the input, that leaves one in some 100 million n-grams with a count that isn't its own at any size. The base score has words only.
 """
 
 from __future__ import annotations
@@ -20,18 +25,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import crc_mod, parts_for
+from lattica.llm.common import crc_mod, parts_for, written
 
-TRUST = 0.5
 DOUBT = 4.0
 #: MB of input for a block of documents.
 BLOCK_MB = 8
+#: Shards are at most 2 to this power: a block sends each a row.
+MOST_BITS = 17
 END, START = 0, 1
 _FIXED = np.array([xxhash.xxh3_64_intdigest(b"\0 end"), xxhash.xxh3_64_intdigest(b"\0 start")], np.uint64)
 
 
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams from those of their first words and their last word."""
+    h = left * np.uint64(0x9E3779B97F4A7C15) ^ right
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(29)
+
+
 class BlockTokens:
-    """Tokens of a block's texts: numbers of words, the state before each token, and the distinct n-grams by hash."""
+    """Tokens of a block's texts, and its distinct n-grams of each order: hashes in order, training counts, and which one ends at each token.
+
+    ``grams[k]`` are runs of k + 1 tokens. A text begins with START; its first token is the second of a pair, and no run of three ends there.
+    """
 
     def __init__(self, texts: list, train: np.ndarray):
         numbers: dict[bytes, int] = {b"\0 end": END, b"\0 start": START}
@@ -41,21 +57,22 @@ class BlockTokens:
             parts.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
             parts.append(np.array([END], np.int32))
             self.sizes[i] = len(words) + 1
-        self.token = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        token = np.concatenate(parts) if parts else np.empty(0, np.int32)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.state = np.roll(self.token, 1)
-        self.state[self.starts] = START
-        self.word_hash = np.empty(len(numbers), np.uint64)
-        for word, k in numbers.items():
-            self.word_hash[k] = xxhash.xxh3_64_intdigest(word)
-        self.word_hash[:2] = _FIXED
-        counted = np.repeat(train, self.sizes)
-        self.order = np.argsort(self.word_hash)
-        self.word_count = np.bincount(self.token, weights=counted, minlength=len(numbers)).astype(np.uint32)
-        pair = self.word_hash[self.state] * np.uint64(0x9E3779B97F4A7C15) ^ self.word_hash[self.token]
-        pair = (pair ^ pair >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-        self.pair_hash, self.pair_of = np.unique(pair ^ pair >> np.uint64(32), return_inverse=True)
-        self.pair_count = np.bincount(self.pair_of, weights=counted, minlength=len(self.pair_hash)).astype(np.uint32)
+        word = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
+        word[:2] = _FIXED
+        self.trained = np.repeat(train, self.sizes)
+        hashed = word[token]
+        before = np.roll(hashed, 1)
+        before[self.starts] = _FIXED[START]
+        pair = _joined(before, hashed)
+        three = _joined(np.roll(pair, 1), hashed)
+        three[self.starts] = 0  # there is none
+        self.grams = [self._distinct(h) for h in (hashed, pair, three)]
+
+    def _distinct(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        known, at = np.unique(h, return_inverse=True)
+        return known, np.bincount(at, weights=self.trained, minlength=len(known)).astype(np.uint32), at.astype(np.int32)
 
 
 def _cuts(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -64,108 +81,151 @@ def _cuts(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
 
 
-def _six(low: np.ndarray) -> bytes:
-    """The low 48 bits of each number, six bytes each: with the shard they are enough to tell n-grams apart."""
-    return low.astype(np.uint32).tobytes() + (low >> np.uint64(32)).astype(np.uint16).tobytes()
+def _packed(hashes: np.ndarray) -> bytes:
+    """Sorted numbers as differences, byte by byte: the high bytes are mostly zero, which compresses away."""
+    steps = np.diff(hashes, prepend=np.uint64(0))
+    return steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _from_six(packed: bytes) -> np.ndarray:
-    n = len(packed) // 6
-    return np.frombuffer(packed, np.uint32, n).astype(np.uint64) | np.frombuffer(packed, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
+def _unpacked(packed: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64)
 
 
-def _texts(table: pa.Table) -> tuple[list, np.ndarray]:
-    """Texts in a fixed order, with their places in the table."""
-    return table.column("text").to_pylist(), ~table.column("held_out").to_numpy()
+def _low(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """48 bits below the shard's; they keep the order within a shard."""
+    return hashes << np.uint64(bits) >> np.uint64(16)
 
 
-REQUEST = "shard int, block long, words binary, word_counts binary, pairs binary, pair_counts binary"
-ANSWER = "block long, shard int, word_counts binary, pair_counts binary, tokens long, types long"
+ORDERS = ("words", "pairs", "threes")
+REQUEST = "shard int, block long, " + ", ".join(f"{x} binary, {x}_counts binary" for x in ORDERS)
+ANSWER = "block long, shard int, " + ", ".join(f"{x} binary" for x in ORDERS) + ", tokens long, types long"
+
+
+def _texts(table: pa.Table) -> tuple[list, np.ndarray]:
+    """Texts in a fixed order, with whether they are learnt from."""
+    return table.column("text").to_pylist(), ~table.column("held_out").to_numpy()
 
 
 def _request(bits: int):
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         b = BlockTokens(*_texts(table))
-        hashes, counts = b.word_hash[b.order], b.word_count[b.order]
-        w, p = _cuts(hashes, bits), _cuts(b.pair_hash, bits)
-        low = b.pair_hash << np.uint64(bits) >> np.uint64(16)
-        rows = [
-            (s, key[0].as_py(), hashes[w[s] : w[s + 1]].tobytes(), counts[w[s] : w[s + 1]].tobytes(), _six(low[p[s] : p[s + 1]]), b.pair_count[p[s] : p[s + 1]].tobytes())
-            for s in range(1 << bits)
-        ]
-        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
-        names = ("shard", "block", "words", "word_counts", "pairs", "pair_counts")
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        hashes = [b.grams[0][0], *(_low(g[0], bits) for g in b.grams[1:])]
+        cuts = [_cuts(g[0], bits) for g in b.grams]
+        shards = np.flatnonzero(sum(np.diff(c) for c in cuts))
+        columns = [pa.array(shards.astype(np.int32)), pa.array([key[0].as_py()] * len(shards), pa.int64())]
+        for h, (_, counts, _), cut in zip(hashes, b.grams, cuts, strict=True):
+            columns.append(pa.array([_packed(h[cut[s] : cut[s + 1]]) for s in shards], pa.binary()))
+            columns.append(pa.array([counts[cut[s] : cut[s + 1]].tobytes() for s in shards], pa.binary()))
+        return pa.table(columns, names=["shard", "block", *(x + y for x in ORDERS for y in ("", "_counts"))])
 
     return ask
 
 
-def _sums(hashes: list[np.ndarray], counts: list[bytes]) -> tuple[list[np.ndarray], int, int]:
-    """For each block the corpus counts in the order it asked; the tokens and the types counted."""
-    h = np.concatenate(hashes)
-    c = np.frombuffer(b"".join(counts), np.uint32)
+def _sums(hashes: list[np.ndarray], counts: list[bytes]) -> tuple[list[bytes], int, int]:
+    """For each block what other blocks add to its counts, in the order it asked; the tokens and the types counted."""
+    h, own = np.concatenate(hashes), np.frombuffer(b"".join(counts), np.uint32)
     known, at = np.unique(h, return_inverse=True)
-    total = np.bincount(at, weights=c, minlength=len(known)).astype(np.uint64)
+    total = np.bincount(at, weights=own, minlength=len(known)).astype(np.uint64)
     ends = np.cumsum([len(x) for x in hashes])
-    return np.split(total[at], ends[:-1]), int(total.sum()), int((total > 0).sum())
+    return [x.tobytes() for x in np.split(total[at] - own, ends[:-1])], int(total.sum()), int((total > 0).sum())
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    get = lambda name: table.column(name).to_pylist()
-    words, tokens, types = _sums([np.frombuffer(x, np.uint64) for x in get("words")], get("word_counts"))
-    pairs, _, _ = _sums([_from_six(x) for x in get("pairs")], get("pair_counts"))
-    n = table.num_rows
-    columns = [
-        table.column("block"), table.column("shard"), pa.array([x.tobytes() for x in words], pa.binary()), pa.array([x.tobytes() for x in pairs], pa.binary()),
-        pa.array([tokens] * n, pa.int64()), pa.array([types] * n, pa.int64()),
-    ]
-    return pa.table(columns, names=["block", "shard", "word_counts", "pair_counts", "tokens", "types"])
-
-
-def traverse(b: BlockTokens, word_total: np.ndarray, pair_total: np.ndarray, n: int, v: int, trust: float, doubt: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """base_score, score and n_known of each text: the arcs of the traversal, weighed at once and added up per text."""
-    word_total = word_total.astype(np.float64)
-    word_total[START] = word_total[END]  # every text starts and ends once
-    c = word_total[b.token]
-    base = np.log10((c + 1) / (n + v + 1))
-    history = word_total[b.state]
-    trusted = trust * history / (history + doubt)
-    share = pair_total[b.pair_of].astype(np.float64) / np.maximum(history, 1)
-    arc = np.log10(trusted * share + (1 - trusted) * 10**base)
-    add = lambda x: np.add.reduceat(x, b.starts) if len(b.starts) else x
-    return add(base), add(arc), add((c > 0).astype(np.int64))
-
-
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-
-def _score(trust: float, doubt: float):
+    """What a shard knows, for each block; in its first row also how many tokens and types of its words are in training."""
+    columns = [table.column("block"), table.column("shard")]
+    for x in ORDERS:
+        added, n, v = _sums([_unpacked(y) for y in table.column(x).to_pylist()], table.column(x + "_counts").to_pylist())
+        columns.append(pa.array(added, pa.binary()))
+        tokens, types = (n, v) if x == "words" else (tokens, types)
+    rest = [0] * (table.num_rows - 1)
+    columns += [pa.array([tokens, *rest], pa.int64()), pa.array([types, *rest], pa.int64())]
+    return pa.table(columns, names=["block", "shard", *ORDERS, "tokens", "types"])
+
+
+class Automaton:
+    """The states and arcs that a block's texts can reach.
+
+    ``arc[k][t]`` is the arc of token t out of the state that holds the k words before it, -1 if there is none; every state has
+    an order, the number of its words. ``weight`` and ``leads_to`` (the order of the state it leads to) are by arc, ``fails``
+    (weight of the failure arc) is by the token whose history the state holds.
+    """
+
+    def __init__(self, b: BlockTokens, counts: list[np.ndarray], n: int, v: int, doubt: float):
+        words, pairs, threes = (c[g[2]].astype(np.float64) for c, g in zip(counts, b.grams, strict=True))
+        texts = counts[0][np.searchsorted(b.grams[0][0], _FIXED[END])] if len(words) else 0
+        one, two = np.roll(words, 1), np.roll(pairs, 1)
+        one[b.starts], two[b.starts] = texts, 0
+        p = (words + 1) / (n + v + 1)
+        self.known, self.base = words > 0, np.log10(p)
+        longest = np.where(pairs >= 2, 2, np.where(words >= 2, 1, 0))
+        arcs, weights, leads, self.fails = [np.arange(len(words))], [self.base], [np.minimum(longest, 1)], [None]
+        for gram, history in ((pairs, one), (threes, two)):
+            there = (gram > 0) & (history >= 2)
+            seen = np.maximum(history, 1)
+            trust = (seen - 1) / (seen - 1 + doubt)
+            p = trust * np.where(there, gram, 0) / seen + (1 - trust) * p
+            at = np.full(len(words), -1)
+            at[there] = sum(map(len, weights)) + np.arange(np.count_nonzero(there))
+            arcs.append(at)
+            weights.append(np.log10(p[there]))
+            leads.append(longest[there])
+            self.fails.append(np.log10(1 - trust))
+        self.arc, self.weight, self.leads_to = arcs, np.concatenate(weights), np.concatenate(leads)
+        self.start = 1 if texts >= 2 else 0
+
+    def traverse(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log10 probability of each text: from the start state, an arc for each token, after failure arcs where it has none."""
+        arc, fails = [x.tolist() for x in self.arc], [x if x is None else x.tolist() for x in self.fails]
+        weight, leads_to = self.weight.tolist(), self.leads_to.tolist()
+        out = []
+        for begin, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+            total, state = 0.0, self.start
+            for t in range(begin, begin + size):
+                a = arc[state][t]
+                while a < 0:
+                    total += fails[state][t]
+                    state -= 1
+                    a = arc[state][t]
+                total += weight[a]
+                state = leads_to[a]
+            out.append(total)
+        return np.array(out)
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, score_per_token double"
+
+
+def _score(n: int, v: int, doubt: float):
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         b = BlockTokens(*_texts(table))
         answers = answers.sort_by("shard")
-        get = lambda name: np.frombuffer(b"".join(answers.column(name).to_pylist()), np.uint64)
-        n, v = (sum(answers.column(x).to_pylist()) for x in ("tokens", "types"))
-        totals = np.empty(len(b.word_hash), np.uint64)
-        totals[b.order] = get("word_counts")
-        base, total, known = traverse(b, totals, get("pair_counts"), n, v, trust, doubt)
-        columns = [table.column("doc_id"), table.column("held_out"), pa.array(b.sizes), pa.array(known), pa.array(np.full(len(b.sizes), n)), pa.array(base), pa.array(total)]
-        return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        counts = [np.frombuffer(b"".join(answers.column(x).to_pylist()), np.uint64) + g[1] for x, g in zip(ORDERS, b.grams, strict=True)]
+        automaton = Automaton(b, counts, n, v, doubt)
+        add = lambda x: np.add.reduceat(x, b.starts) if len(b.starts) else x
+        total = automaton.traverse(b.starts, b.sizes)
+        columns = [
+            table.column("doc_id"), table.column("held_out"), pa.array(b.sizes), pa.array(add(automaton.known.astype(np.int64))),
+            pa.array(np.full(len(b.sizes), n)), pa.array(add(automaton.base)), pa.array(total), pa.array(total / np.maximum(b.sizes, 1)),
+        ]
+        return pa.table(columns, names=[x.split()[0] for x in SCORED.split(", ")])
 
     return score
 
 
-def lm_scores(docs: DataFrame, fold: int = 2, folds: int = 7, trust: float = TRUST, doubt: float = DOUBT) -> DataFrame:
+def lm_scores(docs: DataFrame, fold: int = 2, folds: int = 7, doubt: float = DOUBT) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text), learnt from those whose crc32(doc_id) mod ``folds`` isn't ``fold``.
 
     Null and empty texts are one end token. Repeated rows are counted and scored each. An empty table gives no rows; with
     no training rows N and V are 0, so every token has probability 1.
     """
     blocks = parts_for(docs, BLOCK_MB)
-    bits = max(0, (blocks - 1).bit_length())
-    dealt = docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), folds) == fold).alias("held_out"), F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).alias("block"))
+    bits = min(MOST_BITS, max(0, (blocks - 1).bit_length()))
+    dealt = docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), folds) == fold).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
     asked = dealt.groupBy("block").applyInArrow(_request(bits), REQUEST)
-    answers = asked.groupBy("shard").applyInArrow(_answer, ANSWER)
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(trust, doubt), SCORED)
+    answers = written(asked.groupBy("shard").applyInArrow(_answer, ANSWER), "answers")
+    n, v = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(n, v, doubt), SCORED)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -247,28 +247,42 @@ def test_quality_rules(spark, docs, none):
 
 
 def test_language_model(docs, none):
+    """Against the sums of histories of up to two words, in closed form; and each history's probabilities add up to 1."""
     train = [r for r in ROWS if zlib.crc32(str(r[0] if r[0] is not None else "").encode()) % 7 != 2]
-    tokens = lambda t: words(fold(t)) + [None]
-    c = Counter(w for r in train for w in tokens(r[1]))
-    pairs = Counter(p for r in train for p in zip(["start"] + [(w,) for w in tokens(r[1])[:-1]], tokens(r[1]), strict=True))
-    n, v = sum(c.values()), len(c)
+    tokens = lambda t: ["<start>", *((w,) for w in words(fold(t))), "<end>"]
+    c = Counter(tuple(t[i : i + k]) for r in train for t in [tokens(r[1])] for k in (1, 2, 3) for i in range(len(t) - k + 1))
+    n, types = sum(v for k, v in c.items() if len(k) == 1) - len(train), [k[0] for k in c if len(k) == 1 and k[0] != "<start>"]
+
+    def p(word, history):
+        if not history:
+            return (c[word,] + 1) / (n + len(types) + 1)
+        less = p(word, history[1:])
+        seen = c[history]
+        trust = (seen - 1) / (seen - 1 + language_model.DOUBT) if seen >= 2 else 0
+        return trust * c[*history, word] / seen + (1 - trust) * less if trust else less
+
+    for history in [("<start>",), (("alpha1",),), *[k for k, v in c.items() if len(k) == 2 and v > 1 and k[1] != "<end>"][:5]]:
+        assert math.isclose(sum(p(w, history) for w in types) + p("unknown", history), 1)
     want = []
     for r in ROWS:
-        base_, score, state = 0.0, 0.0, "start"
-        for w in tokens(r[1]):
-            p = (c[w] + 1) / (n + v + 1)
-            history = len(train) if state == "start" else c[state[0]]
-            trust = language_model.TRUST * history / (history + language_model.DOUBT)
-            base_ += math.log10(p)
-            score += math.log10(trust * pairs[state, w] / max(history, 1) + (1 - trust) * p)
-            state = (w,)
-        want.append((-1 if r[0] is None else r[0], len(tokens(r[1])), sum(c[w] > 0 for w in tokens(r[1])), n, base_, score))
+        t = tokens(r[1])
+        base_ = sum(math.log10(p(w, ())) for w in t[1:])
+        score = sum(math.log10(p(t[i], tuple(t[max(0, i - 2) : i]))) for i in range(1, len(t)))
+        want.append((-1 if r[0] is None else r[0], len(t) - 1, sum(c[w,] > 0 for w in t[1:]), n, base_, score))
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in language_model.lm_scores(docs).collect())
     for g, w in zip(got, sorted(want), strict=True):
         assert g[:4] == w[:4] and math.isclose(g[4], w[4], rel_tol=1e-9) and math.isclose(g[5], w[5], rel_tol=1e-9)
     assert language_model.lm_scores(none).count() == 0
 
 
+def test_shards_of_any_number_agree(docs, monkeypatch):
+    """Small blocks and many shards give the same scores as few."""
+    ordered = lambda: sorted((-1 if r.doc_id is None else r.doc_id, r.n_known, round(r.score, 6)) for r in language_model.lm_scores(docs).collect())
+    few = ordered()
+    monkeypatch.setattr(language_model, "parts_for", lambda docs, mb: 23)
+    assert ordered() == few
+
+
 # ---- 7
 
 
