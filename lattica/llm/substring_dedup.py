@@ -35,6 +35,9 @@ IN_MEMORY = 64 << 20
 #: Ids of involved documents are broadcast up to so many (8 bytes each); beyond, all texts are shuffled for the join.
 BROADCAST_IDS = 500_000
 
+#: An anchor that occurs more often is dealt to so many tasks when anchors are looked up.
+HOT, SALTS = 5_000, 64
+
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
@@ -214,8 +217,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
 
     one = table.join(classes.select(F.col("rep").alias("did")), "did", "left_semi").dropDuplicates(["did"])
     found = one.select("did", "h", "at").mapInArrow(spread, "did long, h long, at long")
-    shared = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    hits = written(found.join(shared, "h").groupBy("did").agg(F.collect_list(F.struct("at", "h")).alias("hits")), "hits")
+    counted = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    # An anchor in many documents is looked up in SALTS tasks.
+    shared = counted.select("h", F.explode(F.when(F.col("n") > HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"), (F.col("n") > HOT).alias("hot"))
+    shared = written(shared, "shared")
+    hot = shared.filter("hot").select("h").distinct()
+    few_hot = hot.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    hot = F.broadcast(hot) if few_hot else hot
+    salted = found.join(hot.withColumn("hot", F.lit(True)), "h", "left")
+    salted = salted.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("did", "at"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    hits = salted.join(shared.select("h", "salt"), ["h", "salt"]).groupBy("did").agg(F.collect_list(F.struct("at", "h")).alias("hits"))
+    hits = written(hits, "hits")
     ids = hits.select("did")
     few = hits.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     used = texts.select("did", "text").join(F.broadcast(ids), "did", "left_semi") if few else texts.select("did", "text")
@@ -249,13 +261,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     part = member.join(single, ["h", "sd"]).select("did", pair.alias("p")).select("did", "p.s", "p.e")
     alone = classes.filter("copies = 1").select(F.col("rep").alias("did"))
     spans = written(whole.unionByName(part).join(alone, "did", "left_semi").groupBy("did").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
-    for x in (hits, segments, often, single):
+    for x in (hits, shared, segments, often, single):
         forget(x)
     return texts, table.select("did", "doc_id", "sha", "n_bytes").join(classes.select("sha", "copies"), "sha", "left"), spans
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs`` (doc_id, text).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats (whether any byte goes) for every row of ``docs`` (doc_id, text).
 
     Null and empty texts have no bytes. Texts shorter than ``length`` lose nothing, longer ones with an identical copy
     lose all in one span; repeated rows are copies of each other. Cuts may fall inside a character. An empty table gives
@@ -267,13 +279,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     used = used.join(F.broadcast(spans.select("did")), "did", "left_semi") if few else used
     cut = used.join(spans, "did").select("did", "text", "spans").mapInArrow(_merged, "did long, n_removed long, n_spans long, kept_sha256 string")
     all_ = F.coalesce(F.col("copies") > 1, F.lit(False))
-    return table.join(cut, "did", "left").select(
+    out = table.join(cut, "did", "left").select(
         "doc_id",
         "n_bytes",
         F.when(all_, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(all_, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(all_, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
+    return out.withColumn("repeats", F.col("n_removed") > 0)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
