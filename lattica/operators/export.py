@@ -43,11 +43,14 @@ def exported(notes: DataFrame, kind: str = "markdown") -> DataFrame:
     return {"markdown": markdown, "text": plain, "pdf": pdf_rows}[kind](notes)
 
 
-def bulk_markdown(notes: DataFrame) -> DataFrame:
-    """(user_id, body): all notes of a user in one text."""
+def bulk_markdown(notes: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """(user_id, body): all notes of a user in one text; a bare heading for those of ``users`` that have none."""
     one = F.concat(F.lit("# "), T.default(F.col("title"), "Untitled"), F.lit("\n\n"), F.coalesce("content_text", F.lit("")))
     rows = notes.select("user_id", F.struct("note_id", one.alias("body")).alias("n"))
-    return rows.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list("n"))["body"], "\n\n---\n\n").alias("body"))
+    out = rows.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list("n"))["body"], "\n\n---\n\n").alias("body"))
+    if users is None:
+        return out
+    return users.select("user_id").distinct().join(out, "user_id", "left").select("user_id", T.default(F.col("body"), "# Notes\n").alias("body"))
 
 
 def flashcards_json(notes: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +13,14 @@ from lattica.functions import fixed
 from lattica.functions import text as T
 
 
+def query_terms(query: str) -> list[str]:
+    """The words of a query that count, in order."""
+    return [w for w in re.sub("[^a-z0-9]+", " ", query.lower()).split() if len(w) > 2 and w not in set(fixed.KEYWORD_STOPWORDS)]
+
+
 def query_keywords(query: str, top: int = fixed.KEYWORDS_PER_NOTE) -> list[str]:
     """The keywords of a query, which is one short text on the driver."""
-    words = [w for w in re.sub("[^a-z0-9]+", " ", query.lower()).split() if len(w) > 2 and w not in set(fixed.KEYWORD_STOPWORDS)]
+    words = query_terms(query)
     score = {w: round(words.count(w) * (math.log(2) + 1) * (1 + math.log(len(w))), 6) for w in words}
     number = {w: int(w) if re.fullmatch("0|[1-9][0-9]{0,8}", w) else None for w in words}
     return sorted(score, key=lambda w: (-score[w], number[w] is None, number[w] or 0, words.index(w)))[:top]
@@ -59,13 +65,13 @@ def _count(words: Column, term: str) -> Column:
 
 
 def relevant(notes: DataFrame, query: str, limit: int = fixed.RESULTS) -> DataFrame:
-    """Sum over query terms and the fields title, text and tags of the term's share of the field's words."""
+    """Sum over all terms of the query, repeats included, and the fields title, text and tags of the term's share of the field's words."""
     fields = (F.col("title"), F.col("content_text"), F.array_join("tags", " "))
-    terms, score = query_keywords(query), F.lit(0.0)
+    terms, score = Counter(query_terms(query)), F.lit(0.0)
     for field in fields:
         words = F.filter(T.words(field), lambda w: w != "")
-        for t in terms:
-            score = score + _count(words, t) / F.greatest(F.size(words), F.lit(1)).cast("double")
+        for t, n in terms.items():
+            score = score + n * _count(words, t) / F.greatest(F.size(words), F.lit(1)).cast("double")
     scored = notes.withColumn("score", F.round(score, 6))
     return scored.filter("score > 0").orderBy(F.col("score").desc(), "note_id").limit(limit)
 

@@ -65,6 +65,21 @@ def note_violations(notes: DataFrame) -> DataFrame:
     return notes.select("note_id", F.explode(broken).alias("rule"))
 
 
+def link_violations(links: DataFrame) -> DataFrame:
+    """(source, target, rule) for each rule that a link (user_id, source, target, strength, shared_count) breaks."""
+    rules = {
+        "user required": F.col("user_id").isNull(),
+        "source required": F.col("source").isNull(),
+        "target required": F.col("target").isNull(),
+        "strength required": F.col("strength").isNull(),
+        "strength below 0": F.col("strength") < 0,
+        "strength above 1": F.col("strength") > 1,
+        "shared count below 0": F.col("shared_count") < 0,
+    }
+    broken = F.filter(F.array(*(F.when(c, F.lit(r)) for r, c in rules.items())), lambda x: x.isNotNull())
+    return links.select("source", "target", F.explode(broken).alias("rule"))
+
+
 def taken(users: DataFrame, requests: DataFrame) -> DataFrame:
     """(request_id, field): which requested accounts exist already, and by which field; the email is named first."""
     email, name = F.lower(F.col("r.email")), F.col("r.username")

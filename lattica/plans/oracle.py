@@ -110,17 +110,18 @@ _FILE = "coalesce(nullif(substr(regexp_replace(regexp_replace(trim(title, ' \t\n
 
 
 def statements() -> dict[str, str]:
-    from lattica.operators.search import query_keywords
-    from lattica.plans.registry import EXPANDED, QUERY
+    from lattica.plans.registry import EXPANDED, LONG_QUERY, QUERY
 
-    terms = query_keywords(QUERY)
+    terms = ["thion", "ouer"]  # the others are stop words
     semantic = " + ".join(
         [f"CASE WHEN contains(lower(title), '{QUERY}') THEN 5 ELSE 0 END"]
         + [f"CASE WHEN list_contains(keywords, '{k}') THEN 3 ELSE 0 END + CASE WHEN contains(lower(title), '{k}') THEN 2 ELSE 0 END + CASE WHEN contains(lower(content_text), '{k}') THEN 1 ELSE 0 END" for k in terms]
     )
     fields = ("title", "content_text", "array_to_string(tags, ' ')")
     lists = [f"list_filter({_SPLIT.format(f)}, lambda w: w <> '')" for f in fields]
-    relevant = " + ".join(f"len(list_filter(f{i}, lambda w: w = '{t}')) / greatest(len(f{i}), 1)::DOUBLE" for i in range(3) for t in terms)
+    relevant = lambda asked: " + ".join(f"len(list_filter(f{i}, lambda w: w = '{t}')) / greatest(len(f{i}), 1)::DOUBLE" for i in range(3) for t in asked)
+    searched = lambda asked: f"""WITH {SEARCHABLE}, f AS (SELECT note_id, {", ".join(f"{x} AS f{i}" for i, x in enumerate(lists))} FROM s)
+            SELECT note_id, round({relevant(asked)}, 6) AS score FROM f WHERE score > 0 ORDER BY score DESC, note_id LIMIT 20"""
     words = lambda stop, n: f"WITH {NOTES} SELECT note_id, array_to_string(list_filter({_SPLIT.format('content_text')}, lambda w: length(w) > {n} AND w NOT IN {_list(stop)}), ' ') AS words FROM notes"
     regex = lambda p: f"(regexp_matches(title, '(?i){p}') OR regexp_matches(content_text, '(?i){p}') OR len(list_filter(tags, lambda x: regexp_matches(x, '(?i){p}'))) > 0 OR len(list_filter(keywords, lambda x: regexp_matches(x, '(?i){p}'))) > 0)"
     graph = _graph(EXPANDED)
@@ -159,8 +160,8 @@ def statements() -> dict[str, str]:
         "q_search_tags": f"WITH {SEARCHABLE} SELECT {_results('')} FROM s WHERE len(list_filter(list_concat(tags, keywords, [title]), lambda x: regexp_matches(x, '(?i)fr'))) > 0 ORDER BY note_id LIMIT 20",
         "q_search_recent": f"WITH {SEARCHABLE} SELECT {_results('')} FROM s ORDER BY updated_at DESC, note_id LIMIT 10",
         "q_search_semantic": f"WITH {SEARCHABLE} SELECT note_id, ({semantic})::INT AS score FROM s WHERE score > 0 ORDER BY score DESC, note_id LIMIT 20",
-        "q_search_keyword": f"""WITH {SEARCHABLE}, f AS (SELECT note_id, {", ".join(f"{x} AS f{i}" for i, x in enumerate(lists))} FROM s)
-            SELECT note_id, round({relevant}, 6) AS score FROM f WHERE score > 0 ORDER BY score DESC, note_id LIMIT 20""",
+        "q_search_keyword": searched(terms),
+        "q_search_long": searched(LONG_QUERY.split()),
         "q_search_regex": f"WITH {SEARCHABLE}, x AS (SELECT * FROM s WHERE {regex('th.on')} ORDER BY note_id LIMIT 20) SELECT {_results('thion')} FROM x",
         "q_search_tagfilter": f"WITH {SEARCHABLE}, x AS (SELECT * FROM s WHERE {regex('er')} ORDER BY note_id LIMIT 20) SELECT note_id, title FROM x WHERE list_has_any(tags, ['de', 'src3'])",
         "q_snippet": f"WITH {NOTES} SELECT note_id, {_snippet('Tion')} AS snippet FROM notes",
@@ -188,6 +189,29 @@ def statements() -> dict[str, str]:
         "q_taken": "SELECT c_custkey AS request_id, CASE WHEN c_custkey % 2 = 0 THEN 'Email' ELSE 'Username' END AS field FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",
         "q_display_names": "SELECT c_custkey AS user_id, coalesce(nullif(c_mktsegment, ''), c_name) AS display_name, upper(substr(coalesce(nullif(c_mktsegment, ''), c_name), 1, 1)) AS avatar FROM customer",
         "q_tag_pills": f"WITH {NOTES} SELECT note_id, '#' || array_to_string(list_filter(tags, lambda t: t <> ''), '|#') AS pills FROM notes",
+        "q_keyword_lines": f"WITH {SEARCHABLE} SELECT note_id, array_to_string(keywords[1:4], ' · ') AS line FROM s WHERE len(keywords) > 0",
+        "q_initial_text": f"WITH {NOTES} SELECT note_id, CASE note_id % 4 WHEN 0 THEN content_text WHEN 3 THEN '' ELSE title END AS text FROM notes",
+        "q_expansion_added": f"""WITH {graph} SELECT note_id, id, type FROM nodes WHERE type = 'subkeyword' AND parent IN {_list(EXPANDED[2:])}
+            UNION ALL SELECT note_id, id, type FROM edges WHERE type = 'sub-edge' AND substr(source, 4) IN {_list(EXPANDED[2:])}""",
+        "q_star_edges": f"""WITH {KW}, h AS (SELECT user_id, keyword, min(note_id) AS hub FROM kw GROUP BY ALL)
+            SELECT kw.user_id, kw.keyword, hub, note_id FROM kw JOIN h ON h.user_id = kw.user_id AND h.keyword = kw.keyword WHERE hub <> note_id""",
+        "q_version_preview": f"WITH {VERSIONS} SELECT note_id, version_number, saved_at, CASE WHEN content_text <> '' THEN substr(content_text, 1, 80) || '…' END AS preview FROM versions",
+        "q_validate_links": f"""WITH {LINKS} SELECT source, target, 'user required' AS rule FROM own WHERE source % 11 = 0 UNION ALL
+            SELECT source, target, 'strength above 1' FROM own WHERE source % 5 = 0 UNION ALL SELECT source, target, 'shared count below 0' FROM own WHERE source % 7 = 0""",
+        "q_validate_notes": f"""WITH {NOTES} SELECT note_id, 'user required' AS rule FROM notes WHERE note_id % 11 = 0 UNION ALL
+            SELECT note_id, 'title required' FROM notes WHERE note_id % 5 = 0 OR (note_id % 7 <> 0 AND trim(title) = '') UNION ALL
+            SELECT note_id, 'title too long' FROM notes WHERE note_id % 5 <> 0 AND note_id % 7 = 0 AND length(title) * 10 > 200""",
+        "q_bulk_markdown_all": f"""WITH {NOTES} SELECT user_id, string_agg('# ' || {title} || chr(10) || chr(10) || content_text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY note_id) AS body
+            FROM notes GROUP BY user_id UNION ALL SELECT 'nobody', '# Notes' || chr(10)""",
+        "q_llm_offline": f"""WITH {NOTES}, n AS (SELECT * FROM notes WHERE trim(content_text, ' \t\n\r') <> ''),
+            split AS (SELECT note_id, {_SPLIT.format("content_text")} AS w FROM n),
+            tf AS (SELECT note_id, word, count(*) AS tf, min(pos) AS first_pos FROM (SELECT note_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM split)
+              WHERE length(word) > 2 AND word NOT IN {_list(fixed.KEYWORD_STOPWORDS)} GROUP BY ALL),
+            sc AS (SELECT *, {_INT}, round(tf * (ln(2.0::DOUBLE) + 1) * (1 + ln(length(word)::DOUBLE)), 6) AS score FROM tf),
+            k AS (SELECT note_id, word, {_RANK.format("note_id", "score", "first_pos")} AS rank FROM sc QUALIFY rank <= 6),
+            a AS (SELECT note_id, rank, word, trim(coalesce(list_filter(regexp_split_to_array(content_text, '[.!?\n]+'), lambda s: contains(lower(s), word))[1], ''), ' \t\n\r') AS a FROM k JOIN n USING (note_id)),
+            j AS (SELECT note_id, string_agg('{{"q": "' || word || '", "a": ' || to_json(a)::VARCHAR || '}}', ', ' ORDER BY rank) AS cards FROM a GROUP BY note_id)
+            SELECT note_id, '[' || coalesce(cards, '') || ']' AS answer FROM n LEFT JOIN j USING (note_id)""",
         "q_card_deck": f"""WITH {CARDS} SELECT conv_id, turn, coalesce(lag(turn) OVER w, max(turn) OVER (PARTITION BY conv_id)) AS previous,
             coalesce(lead(turn) OVER w, min(turn) OVER (PARTITION BY conv_id)) AS next FROM cards WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
         "q_commands": "SELECT * FROM (VALUES ('todo', 'Todo List'), ('graph', 'Graph Link')) v(id, title)",

@@ -15,6 +15,7 @@ from lattica.sources import notes as src
 
 #: What the search queries ask for.
 QUERY = "the and thion ouer"
+LONG_QUERY = "thion ouer erha ndth thing heou onthe sting ingth tion erst thion ention"
 EXPANDED = ["thion", "der", "des", "que", "tion"]
 GONE = "note_id % 7 = 0"
 
@@ -28,7 +29,47 @@ def _own(spark, d):
 
 
 def _final(spark, d):
-    return links.final_links(_own(spark, d))
+    return links.final_links(_own(spark, d), src.notes(spark, d))
+
+
+def _recent(spark, d):
+    top = search.recent(src.notes(spark, d))
+    return search.results(search.recent(search.with_keywords(top, keywords.keywords(top))))
+
+
+def _added(spark, d):
+    n = src.notes(spark, d)
+    kw = keywords.keywords(n)
+    shown, asked = graph.note_graphs(n, kw, EXPANDED[:2]), kw.filter(F.col("keyword").isin(EXPANDED))
+    new = graph.expansion(graph.sub_keywords(n, kw, asked.select("note_id", "keyword")))
+    ids = lambda pair: pair[0].select("note_id", "id", "type").unionByName(pair[1].select("note_id", "id", "type"))
+    return graph.to_add(ids(new), ids(shown))
+
+
+def _initial(spark, d):
+    n = src.notes(spark, d)
+    turn = F.col("note_id") % 4
+    contents = F.when(turn == 1, F.to_json(F.array("title"))).when(turn == 2, F.to_json(F.struct(F.col("title").alias("text")))).otherwise(F.lit('{"ops":[]}'))
+    contents = F.when(turn == 1, F.regexp_replace(contents, r"^\[|\]$", "")).otherwise(contents)
+    return n.select("note_id", src.initial_text(F.when(turn == 0, F.col("content_text")).otherwise(F.lit(" ")), contents).alias("text"))
+
+
+def _bad_links(spark, d):
+    l = _own(spark, d).select("user_id", "source", "target", "strength", F.lit(1).alias("shared_count"))
+    changed = {"strength": F.when(F.col("source") % 5 == 0, F.col("strength") + 1).otherwise(F.col("strength")), "shared_count": F.when(F.col("source") % 7 == 0, -1).otherwise(1)}
+    return store.link_violations(l.withColumns(changed | {"user_id": F.when(F.col("source") % 11 != 0, F.col("user_id"))}))
+
+
+def _bad_notes(spark, d):
+    n = src.notes(spark, d)
+    title = F.when(F.col("note_id") % 5 == 0, " ").when(F.col("note_id") % 7 == 0, F.repeat("title", 10)).otherwise(F.col("title"))
+    return store.note_violations(n.withColumns({"title": title, "user_id": F.when(F.col("note_id") % 11 != 0, F.col("user_id"))}))
+
+
+def _all_bulk(spark, d):
+    n = src.notes(spark, d)
+    users = n.select("user_id").unionByName(spark.range(1).select(F.lit("nobody").alias("user_id")))
+    return export.bulk_markdown(n, users)
 
 
 def _searchable(spark, d):
@@ -137,9 +178,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_graph_stats": lambda s, d: graph.stats(*_global(s, d)),
         "q_graph_highlight": lambda s, d: graph.highlighted(*_global(s, d), "thi")[1],
         "q_search_tags": lambda s, d: search.results(search.by_tag(_searchable(s, d), "#FR")),
-        "q_search_recent": lambda s, d: search.search(_searchable(s, d)),
+        "q_search_recent": _recent,
         "q_search_semantic": lambda s, d: search.semantic(_searchable(s, d), QUERY).select("note_id", "score"),
-        "q_search_keyword": lambda s, d: search.relevant(_searchable(s, d), QUERY).select("note_id", "score"),
+        "q_search_keyword": lambda s, d: search.relevant(src.notes(s, d), QUERY).select("note_id", "score"),
+        "q_search_long": lambda s, d: search.relevant(src.notes(s, d), LONG_QUERY).select("note_id", "score"),
         "q_search_regex": lambda s, d: search.results(search.matching(_searchable(s, d), "th.on", literal=False), "thion"),
         "q_search_tagfilter": lambda s, d: search.only_tagged(search.matching(_searchable(s, d), "er"), "de,src3").select("note_id", "title"),
         "q_snippet": lambda s, d: src.notes(s, d).select("note_id", T.snippet(F.col("content_text"), "Tion").alias("snippet")),
@@ -165,6 +207,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_taken": _taken,
         "q_display_names": lambda s, d: views.display_names(src.users(s, d)),
         "q_tag_pills": lambda s, d: views.pills(src.notes(s, d)),
+        "q_keyword_lines": lambda s, d: views.keyword_lines(_searchable(s, d)),
+        "q_initial_text": _initial,
+        "q_expansion_added": _added,
+        "q_star_edges": lambda s, d: graph.star_edges(_kw(s, d)),
+        "q_version_preview": lambda s, d: versions.client_listing(versions.versions(src.saves(s, d))),
+        "q_validate_links": _bad_links,
+        "q_validate_notes": _bad_notes,
+        "q_bulk_markdown_all": _all_bulk,
         "q_card_deck": lambda s, d: views.deck(views.tidy_cards(src.flashcards(s, d))),
         "q_commands": lambda s, d: views.commands(s, "/LI").select("id", "title"),
         "q_coloured_edges": lambda s, d: views.coloured_edges(*_global(s, d)).select("user_id", "id", "colour"),

@@ -128,6 +128,15 @@ def normalised_content(content):
     return F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), content).when(kind == "STRING", text).otherwise("{}")
 
 
+def initial_text(content_text, content):
+    """What an editor starts with: the text unless it is blank, else a JSON string, else the text of a JSON object, else nothing."""
+    parsed = F.try_parse_json(content)
+    field = F.try_variant_get(parsed, "$.text", "variant")
+    whole = F.when(F.schema_of_variant(parsed) == "STRING", F.try_variant_get(parsed, "$", "string"))
+    inner = F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(parsed, "$.text", "string"))
+    return F.coalesce(F.when(T.trimmed(content_text) != "", content_text), whole, inner, F.lit(""))
+
+
 @pandas_udf(StringType())
 def flattened(content: pd.Series) -> pd.Series:
     """Recursion over nested JSON, which no built-in function does."""

@@ -191,3 +191,42 @@ def test_stream(spark, tmp_path, notes):
     after = spark.read.parquet(str(tmp_path / "out/links/batch=0"))
     assert {(r.note_id, r.other) for r in after.collect()} >= {(4, 1), (1, 4)}
     assert [r.version_number for r in saves.history(spark, str(tmp_path / "log")).orderBy("saved_at").collect()] == [1, 2]
+
+
+def test_requests_and_their_content(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"title":"a","contentText":"b","tags":["x"]}\n{"title":"c","content":"[{\\"text\\":\\"d\\"}]"}\n')
+    from lattica.sources import notes as src
+
+    rows = src.read_requests(spark, str(tmp_path / "r.json"))
+    got = rows.select("title", src.patched_text(F.col("contentText"), F.col("content"), F.lit("old")).alias("t")).orderBy("title").collect()
+    assert [(r.title, r.t) for r in got] == [("a", "b"), ("c", "d")]
+    cases = [("t", None, "t"), (" ", '"s"', "s"), (None, '{"text":"u"}', "u"), ("", '{"text":1}', ""), (None, "[1]", ""), (None, None, ""), (None, "no json", "")]
+    table = spark.createDataFrame(cases, "a string, b string, want string")
+    assert all(r.got == r.want for r in table.select("want", src.initial_text(F.col("a"), F.col("b")).alias("got")).collect())
+
+
+def test_violations_of_notes_and_links(spark):
+    from lattica.operators import store
+
+    notes = spark.createDataFrame([(1, None, "t"), (2, "u", " "), (3, "u", "x" * 201), (4, "u", "t")], "note_id long, user_id string, title string")
+    assert sorted(tuple(r) for r in store.note_violations(notes).collect()) == [(1, "user required"), (2, "title required"), (3, "title too long")]
+    links = spark.createDataFrame([("u", 1, 2, 0.5, 1), ("u", 1, None, -0.1, 0), (None, 3, 4, None, -1)], "user_id string, source long, target long, strength double, shared_count long")
+    found = {(r.source, r.rule) for r in store.link_violations(links).collect()}
+    assert found == {(1, "target required"), (1, "strength below 0"), (3, "user required"), (3, "strength required"), (3, "shared count below 0")}
+
+
+def test_links_back_follow_the_last_change(spark):
+    from lattica.operators import links
+
+    own = spark.createDataFrame([("u", 1, 2, 0.5, "a"), ("u", 2, 1, 0.4, "a")], "user_id string, source long, target long, strength double, shared string")
+    notes = spark.createDataFrame([(1, "2024-01-02"), (2, "2024-01-01")], "note_id long, updated_at string")
+    assert {(r.note_id, r.strength) for r in links.final_links(own).collect()} == {(1, 0.4), (2, 0.4)}
+    assert {(r.note_id, r.strength) for r in links.final_links(own, notes).collect()} == {(1, 0.5), (2, 0.5)}
+
+
+def test_a_source_counts_a_keyword_once(spark):
+    from lattica.operators import links
+
+    kw = spark.createDataFrame([("u", 1, "Graph", 1), ("u", 1, "graph", 2), ("u", 2, "graph", 1)], "user_id string, note_id long, keyword string, rank int")
+    got = {(r.source, r.target): (r.strength, r.shared) for r in links.own_links(kw).collect()}
+    assert got == {(1, 2): (0.5, "graph"), (2, 1): (2.0, "graph|graph")}
