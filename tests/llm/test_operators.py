@@ -414,7 +414,7 @@ def test_all_lines_of_a_crowd_meet(spark, monkeypatch):
     """Hashes of one bucket: every pair of two groups within the bound meets, in one chunk or in several."""
     rng = random.Random(9)
     sims = {i: sum(1 << k for k in rng.sample(range(60), 16)) for i in range(60)}
-    rows = spark.createDataFrame([(i, s, 22, [7]) for i, s in sims.items()], "class long, sim long, most int, keys array<long>")
+    rows = spark.createDataFrame([(i, s, 100, 22, [7]) for i, s in sims.items()], "class long, sim long, chars int, most int, keys array<long>")
     label = spark.createDataFrame([(i, i // 3) for i in sims], "class long, `group` long")
     shared = line_dedup.shared_buckets(rows).cache()
     near = {(r.a, r.b) for r in line_dedup.candidates(shared).collect()}
