@@ -13,8 +13,8 @@ shard adds the counts of all blocks and answers each block in the order of its r
 part of the automaton that its texts can reach. A frequent n-gram is asked once per block, so no key is hot. Requests go
 only to shards that a block needs, so there are never more rows than n-grams; hashes are sorted and packed as differences.
 
-Words are told apart by 64 bits. Longer n-grams are told apart by 48 bits and their shard's; as shards grow in number with
-the input, that leaves one in some 100 million n-grams with a count that isn't its own at any size. The base score has words only.
+Words are told apart by 64 bits. Longer n-grams are told apart by 40 bits and their shard's; as shards grow in number with
+the input, that leaves about one in 500,000 n-grams with a count that isn't its own at any size. The base score has words only.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import crc_mod, parts_for, written
+from lattica.llm.common import crc_mod, parts_for
 
 DOUBT = 4.0
 #: MB of input for a block of documents.
@@ -81,20 +81,27 @@ def _cuts(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte: the high bytes are mostly zero, which compresses away."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def _packed(hashes: np.ndarray) -> bytes:
-    """Sorted numbers as differences, byte by byte: the high bytes are mostly zero, which compresses away."""
-    steps = np.diff(hashes, prepend=np.uint64(0))
-    return steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted numbers as differences."""
+    return _planes(np.diff(hashes, prepend=np.uint64(0)))
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view("<u8").ravel()
-    return np.cumsum(steps, dtype=np.uint64)
+    return np.cumsum(_from_planes(packed), dtype=np.uint64)
 
 
 def _low(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """48 bits below the shard's; they keep the order within a shard."""
-    return hashes << np.uint64(bits) >> np.uint64(16)
+    """40 bits below the shard's; they keep the order within a shard."""
+    return hashes << np.uint64(bits) >> np.uint64(24)
 
 
 ORDERS = ("words", "pairs", "threes")
@@ -128,7 +135,7 @@ def _sums(hashes: list[np.ndarray], counts: list[bytes]) -> tuple[list[bytes], i
     known, at = np.unique(h, return_inverse=True)
     total = np.bincount(at, weights=own, minlength=len(known)).astype(np.uint64)
     ends = np.cumsum([len(x) for x in hashes])
-    return [x.tobytes() for x in np.split(total[at] - own, ends[:-1])], int(total.sum()), int((total > 0).sum())
+    return [_planes(x) for x in np.split(total[at] - own, ends[:-1])], int(total.sum()), int((total > 0).sum())
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -159,36 +166,37 @@ class Automaton:
         p = (words + 1) / (n + v + 1)
         self.known, self.base = words > 0, np.log10(p)
         longest = np.where(pairs >= 2, 2, np.where(words >= 2, 1, 0))
-        arcs, weights, leads, self.fails = [np.arange(len(words))], [self.base], [np.minimum(longest, 1)], [None]
+        arcs, weights, leads, self.fails = [np.arange(len(words), dtype=np.int32)], [self.base], [np.minimum(longest, 1).astype(np.int8)], [None]
         for gram, history in ((pairs, one), (threes, two)):
             there = (gram > 0) & (history >= 2)
             seen = np.maximum(history, 1)
             trust = (seen - 1) / (seen - 1 + doubt)
             p = trust * np.where(there, gram, 0) / seen + (1 - trust) * p
-            at = np.full(len(words), -1)
+            at = np.full(len(words), -1, np.int32)
             at[there] = sum(map(len, weights)) + np.arange(np.count_nonzero(there))
             arcs.append(at)
             weights.append(np.log10(p[there]))
-            leads.append(longest[there])
+            leads.append(longest[there].astype(np.int8))
             self.fails.append(np.log10(1 - trust))
         self.arc, self.weight, self.leads_to = arcs, np.concatenate(weights), np.concatenate(leads)
         self.start = 1 if texts >= 2 else 0
 
     def traverse(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """log10 probability of each text: from the start state, an arc for each token, after failure arcs where it has none."""
-        arc, fails = [x.tolist() for x in self.arc], [x if x is None else x.tolist() for x in self.fails]
-        weight, leads_to = self.weight.tolist(), self.leads_to.tolist()
         out = []
         for begin, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+            text = slice(begin, begin + size)
+            arcs = [x[text] for x in self.arc]
+            there = [(a >= 0).tolist() for a in arcs]  # whether each token has an arc out of the state of each order
+            weight, leads_to = [self.weight[a].tolist() for a in arcs], [self.leads_to[a].tolist() for a in arcs]
+            fails = [x if x is None else x[text].tolist() for x in self.fails]
             total, state = 0.0, self.start
-            for t in range(begin, begin + size):
-                a = arc[state][t]
-                while a < 0:
+            for t in range(size):
+                while not there[state][t]:
                     total += fails[state][t]
                     state -= 1
-                    a = arc[state][t]
-                total += weight[a]
-                state = leads_to[a]
+                total += weight[state][t]
+                state = leads_to[state][t]
             out.append(total)
         return np.array(out)
 
@@ -196,11 +204,12 @@ class Automaton:
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, score_per_token double"
 
 
-def _score(n: int, v: int, doubt: float):
+def _score(doubt: float):
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         b = BlockTokens(*_texts(table))
         answers = answers.sort_by("shard")
-        counts = [np.frombuffer(b"".join(answers.column(x).to_pylist()), np.uint64) + g[1] for x, g in zip(ORDERS, b.grams, strict=True)]
+        n, v = answers.column("all_tokens")[0].as_py(), answers.column("all_types")[0].as_py()
+        counts = [np.concatenate([_from_planes(y) for y in answers.column(x).to_pylist()]) + g[1] for x, g in zip(ORDERS, b.grams, strict=True)]
         automaton = Automaton(b, counts, n, v, doubt)
         add = lambda x: np.add.reduceat(x, b.starts) if len(b.starts) else x
         total = automaton.traverse(b.starts, b.sizes)
@@ -223,9 +232,10 @@ def lm_scores(docs: DataFrame, fold: int = 2, folds: int = 7, doubt: float = DOU
     bits = min(MOST_BITS, max(0, (blocks - 1).bit_length()))
     dealt = docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), folds) == fold).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
     asked = dealt.groupBy("block").applyInArrow(_request(bits), REQUEST)
-    answers = written(asked.groupBy("shard").applyInArrow(_answer, ANSWER), "answers")
-    n, v = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(n, v, doubt), SCORED)
+    answers = asked.groupBy("shard").applyInArrow(_answer, ANSWER)
+    whole = answers.agg(F.sum("tokens").alias("all_tokens"), F.sum("types").alias("all_types"))  # one row
+    answers = answers.withColumn("all", F.lit(0)).join(F.broadcast(whole.withColumn("all", F.lit(0))), "all").select("block", "shard", *ORDERS, "all_tokens", "all_types")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(doubt), SCORED)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
