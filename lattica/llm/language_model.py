@@ -32,6 +32,8 @@ DOUBT = 4.0
 BLOCK_MB = 8
 #: Shards are at most 2 to this power: a block sends each a row.
 MOST_BITS = 17
+#: Tokens for which a part of the automaton is built at a time.
+AT_A_TIME = 200_000
 END, START = 0, 1
 _FIXED = np.array([xxhash.xxh3_64_intdigest(b"\0 end"), xxhash.xxh3_64_intdigest(b"\0 start")], np.uint64)
 
@@ -151,18 +153,16 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 class Automaton:
-    """The states and arcs that a block's texts can reach.
+    """The states and arcs that some texts can reach, by the counts of the n-grams that end at each of their tokens.
 
     ``arc[k][t]`` is the arc of token t out of the state that holds the k words before it, -1 if there is none; every state has
     an order, the number of its words. ``weight`` and ``leads_to`` (the order of the state it leads to) are by arc, ``fails``
     (weight of the failure arc) is by the token whose history the state holds.
     """
 
-    def __init__(self, b: BlockTokens, counts: list[np.ndarray], n: int, v: int, doubt: float):
-        words, pairs, threes = (c[g[2]].astype(np.float64) for c, g in zip(counts, b.grams, strict=True))
-        texts = counts[0][np.searchsorted(b.grams[0][0], _FIXED[END])] if len(words) else 0
+    def __init__(self, words: np.ndarray, pairs: np.ndarray, threes: np.ndarray, starts: np.ndarray, texts: int, n: int, v: int, doubt: float):
         one, two = np.roll(words, 1), np.roll(pairs, 1)
-        one[b.starts], two[b.starts] = texts, 0
+        one[starts], two[starts] = texts, 0  # the history of a text's first token is START
         p = (words + 1) / (n + v + 1)
         self.known, self.base = words > 0, np.log10(p)
         longest = np.where(pairs >= 2, 2, np.where(words >= 2, 1, 0))
@@ -210,12 +210,21 @@ def _score(doubt: float):
         answers = answers.sort_by("shard")
         n, v = answers.column("all_tokens")[0].as_py(), answers.column("all_types")[0].as_py()
         counts = [np.concatenate([_from_planes(y) for y in answers.column(x).to_pylist()]) + g[1] for x, g in zip(ORDERS, b.grams, strict=True)]
-        automaton = Automaton(b, counts, n, v, doubt)
-        add = lambda x: np.add.reduceat(x, b.starts) if len(b.starts) else x
-        total = automaton.traverse(b.starts, b.sizes)
+        texts = int(counts[0][np.searchsorted(b.grams[0][0], _FIXED[END])]) if len(b.sizes) else 0
+        at = [g[2] for g in b.grams]
+        known, base, total = (np.empty(len(b.sizes), x) for x in (np.int64, np.float64, np.float64))
+        for some in np.split(np.arange(len(b.sizes)), np.flatnonzero(np.diff(b.starts // AT_A_TIME)) + 1):
+            if not len(some):
+                continue
+            begin, end = b.starts[some[0]], b.starts[some[-1]] + b.sizes[some[-1]]
+            starts = b.starts[some] - begin
+            automaton = Automaton(*(c[x[begin:end]].astype(np.float64) for c, x in zip(counts, at, strict=True)), starts, texts, n, v, doubt)
+            known[some] = np.add.reduceat(automaton.known.astype(np.int64), starts)
+            base[some] = np.add.reduceat(automaton.base, starts)
+            total[some] = automaton.traverse(starts, b.sizes[some])
         columns = [
-            table.column("doc_id"), table.column("held_out"), pa.array(b.sizes), pa.array(add(automaton.known.astype(np.int64))),
-            pa.array(np.full(len(b.sizes), n)), pa.array(add(automaton.base)), pa.array(total), pa.array(total / np.maximum(b.sizes, 1)),
+            table.column("doc_id"), table.column("held_out"), pa.array(b.sizes), pa.array(known),
+            pa.array(np.full(len(b.sizes), n)), pa.array(base), pa.array(total), pa.array(total / np.maximum(b.sizes, 1)),
         ]
         return pa.table(columns, names=[x.split()[0] for x in SCORED.split(", ")])
 
