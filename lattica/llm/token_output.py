@@ -4,10 +4,12 @@ Texts become token ids with a public tokenizer, an end id after each document. T
 order as frames. A frame holds whole documents: their ids and lengths, and the token ids cut to blocks of ``BLOCK`` that
 are coded independently, each with its own fresh model and a checksum.
 
-The coder is a carryless range coder with 56-bit bounds and 16-bit output. The model mixes three orders: order 2 (two ids
-back) and order 1 each predict one id from hashed tables that learn as they go; the chance that either is right is counted
-for each pair of their confidences; otherwise order 0 codes the id by adaptive frequencies of its high part. All blocks
-of a frame are coded side by side, one id of each block per step, so the arithmetic runs on arrays.
+The model mixes three orders into one distribution of the whole next id. Order 2 (two ids back) and order 1 each predict one
+id, from hashed tables that a block fills as it goes; order 0 gives every id of the frame a chance, by counts of classes
+of ids that adapt in the block times the id's share of its class in the frame. The mix is w2 [x = g2] + w1 [x = g1] + w0 P0(x),
+with weights that adapt for each pair of confidences. Its running sum has a closed form, so a range coder with 60-bit bounds
+and 20-bit digits takes an id in one step. All blocks of a frame are coded side by side, one id of each block per step, so the arithmetic
+runs on arrays.
 
 Frames are rows of a binary column that Spark writes and reads, so any store that Spark can reach will do.
 """
@@ -20,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,16 +35,19 @@ FRAME_BLOCKS = 1536
 #: Words of which a worker remembers the ids.
 REMEMBERED = 250_000
 MAGIC = b"LTOK"
-VERSION = 1
+VERSION = 2
 
 _SLOT_BITS = 10
 _SLOTS = 1 << _SLOT_BITS
-_FLAG_BITS, _HIGH_BITS, _LOW_BITS = 12, 12, 8
-_ID_BITS = _HIGH_BITS + _LOW_BITS
-_WIDTH = 56
-_TOP, _BOTTOM, _MASK = np.uint64(1 << (_WIDTH - 16)), np.uint64(1 << 38), np.uint64((1 << _WIDTH) - 1)
-_RENEW = 128
-_U = np.uint64
+#: Bits of the weights, of classes of ids, and of ids in their class; one id's interval is a part of 2**34.
+_MIX_BITS, _CLASS_BITS, _INNER_BITS = 10, 10, 14
+_ID_BITS = _CLASS_BITS + _INNER_BITS
+_CLASSES = 64
+#: Bits of a digit and of the bounds; a span is at least _FLOOR when an id is coded.
+_DIGIT, _WIDTH = 20, 60
+_FLOOR = 1 << (_WIDTH - _DIGIT)
+#: Ids after which the class counts of a block take effect, and what the frame's counts weigh at its start.
+_RENEW, _START = 128, 300
 
 
 # ---------------------------------------------------------------- tokens
@@ -68,10 +74,11 @@ class Encoder:
         self.first: dict[str, int] = {}
         self.later: dict[str, int] = {}
         self.flat, self.at, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64)
-        self.n, self.used = 1, 1  # entry 0 is the end id, 0
+        self.n, self.used = 2, 1  # entry 0 is the end id, 0; entry 1 has no ids
+        self.size[1] = 0
 
-    def _learn(self, known: dict[str, int], words: set[str], lead: str):
-        new = list(words - known.keys())
+    def _learn(self, known: dict[str, int], words: list[str], lead: str):
+        new = [w for w in words if w not in known]
         if not new:
             return
         if lead:  # one text for many words: no word holds a space, so a new word begins where an id does
@@ -97,26 +104,36 @@ class Encoder:
         """Ids of each text, the end id last."""
         if self.n > REMEMBERED:
             self._clear()
-        cut = [None if self._odd.search(t) else t.split(" ") for t in texts]
-        self._learn(self.first, {c[0] for c in cut if c and c[0]}, "")
-        later: set[str] = set()
-        for c in cut:
-            if c:
-                later.update(c[1:])
-        self._learn(self.later, later, " ")
-        out = []
-        for text, c in zip(texts, cut, strict=True):
-            if c is None:
-                out.append(np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, 0], np.uint32))
-                continue
-            k = np.empty(len(c) + 1, np.int64)
-            k[1:-1] = np.fromiter(map(self.later.__getitem__, c[1:]), np.int64, len(c) - 1)
-            k[-1] = 0
-            k[0] = self.first[c[0]] if c[0] else -1
-            k = k if c[0] else k[1:]
-            size = self.size[k]
-            ends = np.cumsum(size)
-            out.append(self.flat[np.repeat(self.at[k] - ends + size, size) + np.arange(ends[-1])])
+        if not texts:
+            return []
+        odd = [i for i, t in enumerate(texts) if self._odd.search(t)]
+        plain = list(texts)
+        for i in odd:
+            plain[i] = ""
+        lists = pc.split_pattern(pa.array(plain, pa.string()), " ")
+        edges, words = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+        which = words.indices.to_numpy()
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), " ")
+        names = joined[0].as_py().split(" ")  # words hold no spaces
+        inner = np.ones(len(which), bool)
+        inner[edges[:-1]] = False
+        later = np.flatnonzero(np.bincount(which[inner], minlength=len(names)))
+        after = list(map(names.__getitem__, later.tolist()))
+        self._learn(self.later, after, " ")
+        heads = [names[i] for i in which[edges[:-1]].tolist()]
+        self._learn(self.first, list({h for h in heads if h}), "")
+        entry = np.ones(len(names), np.int64)
+        entry[later] = list(map(self.later.__getitem__, after))
+        k = entry[which]
+        k[edges[:-1]] = [self.first[h] if h else 1 for h in heads]
+        stop = edges[1:] + np.arange(len(texts))  # where each text's end id goes
+        held = np.zeros(len(k) + len(texts), np.int64)
+        held[np.delete(np.arange(len(held)), stop)] = k
+        size = self.size[held]
+        ends = np.cumsum(size)
+        out = np.split(self.flat[np.repeat(self.at[held] - ends + size, size) + np.arange(ends[-1])], ends[stop][:-1])
+        for i in odd:
+            out[i] = np.array([*self.tokenizer.encode(texts[i], add_special_tokens=False).ids, 0], np.uint32)
         return out
 
 
@@ -132,182 +149,228 @@ def encoder(path: str) -> Encoder:
 # ---------------------------------------------------------------- coder
 
 
+class Frequencies:
+    """The ids of a frame and their counts: what order 0 knows when a block begins.
+
+    Ids stand for their place among the frame's ids (symbols). Runs of symbols are classes of at most about 1 / 32 of the
+    counts and of the symbols.
+    """
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray):
+        self.ids, self.counts = ids.astype(np.int64), counts.astype(np.int64)
+        n, total = len(ids), int(self.counts.sum())
+        middle = np.cumsum(self.counts) * 2 - self.counts
+        place = middle * _CLASSES // (4 * total) + (2 * np.arange(n) + 1) * _CLASSES // (4 * n)
+        self.of = np.unique(place, return_inverse=True)[1].astype(np.int64)
+        self.weight = np.bincount(self.of, self.counts).astype(np.int64)
+        m = np.bincount(self.of)
+        room = (1 << _INNER_BITS) - m
+        self.size = 1 + self.counts * room[self.of] // self.weight[self.of]
+        first = np.cumsum(m) - m
+        self.size[first] += (1 << _INNER_BITS) - np.bincount(self.of, self.size).astype(np.int64)
+        self.start = np.cumsum(self.size) - self.size - (self.of << _INNER_BITS)
+        self.inverse = np.repeat(np.arange(n, dtype=np.uint16), self.size)
+
+    @classmethod
+    def counted(cls, ids: np.ndarray) -> Frequencies:
+        counts = np.bincount(ids)
+        known = np.flatnonzero(counts)
+        return cls(known, counts[known])
+
+    def symbols(self, ids: np.ndarray) -> np.ndarray:
+        at = np.zeros(int(self.ids[-1]) + 1, np.uint16)
+        at[self.ids] = np.arange(len(self.ids))
+        return at[ids]
+
+
 class _Model:
-    """The adaptive model of many blocks, one lane each. A table entry is a predicted id and two bits of confidence."""
+    """The adaptive model of many blocks, one lane each. A table entry is a predicted symbol and two bits of confidence."""
 
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
+    def __init__(self, lanes: int, known: Frequencies):
+        self.known, self.lane = known, np.arange(lanes)
         self.at = self.lane * _SLOTS
-        self.table = [np.zeros(lanes * _SLOTS, np.uint32) for _ in range(2)]
-        self.hits = np.tile(np.array([[8], [4], [20]], np.int32), (1, lanes * 16))
-        self.seen = np.ones((lanes, 256), np.int32)
-        self.past = [np.zeros(lanes, np.uint32) for _ in range(2)]
-        self.edges = np.zeros((lanes, 257), np.int64)
+        self.table = [np.zeros(lanes * _SLOTS, np.int32) for _ in range(2)]
+        self.trust = [np.tile(np.array(t, np.int32), lanes) for t in ([6000] * 4 + [20000] * 4 + [45000] * 4 + [58000] * 4, [3000, 12000, 30000, 45000] * 4)]
+        self.classes = len(known.weight)
+        self.seen = np.tile(_START * known.weight // int(known.weight.sum()), (lanes, 1)) * 16 + 1
+        self.past = [np.zeros(lanes, np.int64) for _ in range(2)]
+        self.edges = np.zeros((lanes, self.classes + 1), np.int64)
         self.steps = 0
         self._renew()
 
     def _renew(self):
-        share = (1 << _HIGH_BITS) - 256
-        f = 1 + self.seen * share // self.seen.sum(axis=1, keepdims=True)
-        self.edges[:, 1:] = np.cumsum(f, axis=1)
-        self.edges[:, 256] = 1 << _HIGH_BITS
-        self.high_of = None
+        share = (1 << _CLASS_BITS) - self.classes
+        np.cumsum(1 + self.seen * share // self.seen.sum(axis=1, keepdims=True), axis=1, out=self.edges[:, 1:])
+        self.edges[:, self.classes] = 1 << _CLASS_BITS
+        self.row = self.lane * (self.classes + 1)
+        self.class_of = None
 
     def look(self, n: int):
-        """Predictions of the first ``n`` lanes, order 2 and order 1, and the edges of the three choices."""
-        mixed = self.past[0][:n] * np.uint32(2654435761)
-        both = (mixed ^ self.past[1][:n] * np.uint32(2246822519)) * np.uint32(3266489917)
-        self.i = [self.at[:n] + (h >> np.uint32(32 - _SLOT_BITS)) for h in (both, mixed)]
+        """Predictions of the first ``n`` lanes, order 2 and order 1, and the weights of the three orders."""
+        mask = _SLOTS - 1
+        one = self.past[0][:n] * 40503
+        two = (self.past[1][:n] * 2246822519 ^ one * 65599) >> 11
+        self.i = [self.at[:n] + (two & mask), self.at[:n] + (one >> 3 & mask)]
         self.entry = [self.table[k][self.i[k]] for k in (0, 1)]
-        self.guess = [e >> np.uint32(2) for e in self.entry]
-        self.sure = [e & np.uint32(3) for e in self.entry]
-        self.context = self.lane[:n] * 16 + (self.sure[0] << np.uint32(2) | self.sure[1])
-        h2, h1, h0 = self.hits[:, self.context]
-        total = h2 + h1 + h0
-        room = (1 << _FLAG_BITS) - 3
-        first = h2 * room // total + 1
-        return first.astype(np.int64), (first + h1 * room // total + 1).astype(np.int64)
-
-    def learn(self, n: int, x: np.ndarray, choice: np.ndarray):
-        fresh = x << np.uint32(2)
+        self.guess = [e >> 2 for e in self.entry]
+        self.sure = [e & 3 for e in self.entry]
+        self.context = self.lane[:n] * 16 + (self.sure[0] << 2 | self.sure[1])
+        self.odds = [self.trust[k][self.context] for k in (0, 1)]
+        w2 = 1 + (self.odds[0] * 1020 >> 16)
+        w1 = (1022 - w2) * (self.odds[1] >> 6) >> 10
+        self.weights = w2.astype(np.int64), w1.astype(np.int64), (1024 - w2 - w1).astype(np.int64)
+
+    def below(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the interval of symbols ``x`` in 2**34, under the mix of all orders."""
+        k, (w2, w1, w0) = self.known, self.weights
+        at = self.row[:n] + k.of[x]
+        edge = self.edges.ravel()
+        first = edge[at]
+        width = edge[at + 1] - first
+        g2, g1 = self.guess
+        start = w0 * ((first << _INNER_BITS) + k.start[x] * width) + ((w2 * (g2 < x) + w1 * (g1 < x)) << _ID_BITS)
+        size = w0 * (k.size[x] * width) + ((w2 * (g2 == x) + w1 * (g1 == x)) << _ID_BITS)
+        return start, size
+
+    def symbol_at(self, v: np.ndarray, n: int) -> np.ndarray:
+        """The symbols whose intervals hold ``v``."""
+        (w2, w1, w0), k = self.weights, self.known
+        if self.class_of is None:
+            lanes = len(self.lane)
+            self.class_of = np.repeat(np.tile(np.arange(self.classes, dtype=np.uint8), lanes), np.diff(self.edges, axis=1).ravel())
+        found, over = np.full(n, -1), 0
+        for g, w in zip(self.guess, (w2, w1), strict=True):
+            start, size = self.below(g, n)
+            after = v >= start + size
+            over = over + w * after
+            here = (v >= start) & ~after
+            found = np.where(here, g, found)
+        e = np.flatnonzero(found < 0)
+        y = (v[e] - (over[e] << _ID_BITS)) // w0[e]
+        c = self.class_of[(self.lane[e] << _CLASS_BITS) + (y >> _INNER_BITS)].astype(np.int64)
+        at = self.row[e] + c
+        edge = self.edges.ravel()
+        first = edge[at]
+        inner = (y - (first << _INNER_BITS)) // (edge[at + 1] - first)
+        found[e] = k.inverse[(c << _INNER_BITS) + inner]
+        return found
+
+    def learn(self, n: int, x: np.ndarray):
+        fresh, missed = (x << 2).astype(np.int32), True
         for k in (0, 1):
-            e, c = self.entry[k], self.sure[k]
-            self.table[k][self.i[k]] = np.where(self.guess[k] == x, e + (c < 3), np.where(c > 0, e - np.uint32(1), fresh))
-        self.hits.ravel()[choice * self.hits.shape[1] + self.context] += 12
-        self.seen.ravel()[self.lane[:n] * 256 + (x >> np.uint32(_LOW_BITS))] += 24
-        self.past[1][:n] = self.past[0][:n]
-        self.past[0][:n] = x
+            e, c, odds = self.entry[k], self.sure[k], self.odds[k]
+            hit = self.guess[k] == x
+            self.table[k][self.i[k]] = np.where(hit, e + (c < 3), np.where(c > 0, e - 1, fresh))
+            # order 1 is held to account only where order 2 was wrong
+            self.trust[k][self.context] = odds + (((hit.astype(np.int32) << 16) - odds) * missed >> 5)
+            missed = ~hit
+        self.seen.ravel()[self.lane[:n] * self.classes + self.known.of[x]] += 16
+        self.past[1], self.past[0] = self.past[0], x
         self.steps += 1
         if self.steps % _RENEW == 0:
-            if self.steps % (2 * _RENEW) == 0:
-                self.hits = (self.hits + 1) // 2
             self._renew()
 
 
-def _part(model: _Model, x: np.ndarray, choice: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of the coded ids in 2**32: the choice, and within the last choice order 0's high part and the rest."""
-    start = np.where(choice == 0, 0, first) << _ID_BITS
-    size = np.where(choice == 0, first, second - first) << _ID_BITS
-    e = np.flatnonzero(choice == 2)
-    high, rest = (x[e] >> np.uint32(_LOW_BITS)).astype(np.int64), (x[e] & np.uint32((1 << _LOW_BITS) - 1)).astype(np.int64)
-    a = model.edges[e, high]
-    f = model.edges[e, high + 1] - a
-    room = (1 << _FLAG_BITS) - second[e]
-    start[e] = (second[e] << _ID_BITS) + ((a << _LOW_BITS) + rest * f) * room
-    size[e] = f * room
-    return start, size
-
-
-def _narrow(low, span, start, size):
-    unit = span >> _U(_FLAG_BITS + _ID_BITS)
-    low += start.astype(np.uint64) * unit
-    span[:] = size.astype(np.uint64) * unit
-
-
-def _settle(low, span, put):
-    """Shift out what is decided; ``put`` gets the lanes that shift, each time."""
-    go = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _BOTTOM))
-    while len(go):
-        lo, sp = low[go], span[go]
-        cramped = (lo ^ (lo + sp)) >= _TOP
-        if cramped.any():
-            sp = np.where(cramped, (~lo + _U(1)) & (_BOTTOM - _U(1)), sp)
-        put(go, lo)
-        lo, sp = lo << _U(16) & _MASK, sp << _U(16)
-        low[go], span[go] = lo, sp
-        go = go[((lo ^ (lo + sp)) < _TOP) | (sp < _BOTTOM)]
-
-
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """The ids in blocks of BLOCK, each coded on its own."""
+def _packed(digits: np.ndarray) -> bytes:
+    """Digits of 20 bits as bytes; zeros at the end are left out."""
+    d = np.concatenate([digits, np.zeros(len(digits) % 2, np.int64)])
+    return (d[0::2] << _DIGIT | d[1::2]).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes().rstrip(b"\0")
+
+
+def _unpacked(block: bytes, n: int) -> np.ndarray:
+    raw = np.zeros((-(-n // 2), 8), np.uint8)
+    raw[:, 3:] = np.frombuffer(block.ljust(5 * len(raw), b"\0"), np.uint8).reshape(-1, 5)
+    v = raw.view(">u8").ravel().astype(np.int64)
+    return np.stack([v >> _DIGIT, v & ((1 << _DIGIT) - 1)], axis=1).ravel()[:n]
+
+
+def encode_blocks(ids: np.ndarray, known: Frequencies | None = None) -> list[bytes]:
+    """The ids in blocks of BLOCK, each coded on its own, from the counts ``known`` on (those of ``ids`` if none are given).
+
+    A bound may outgrow its bits while coding; the digit before it takes the carry, and carries move up at the end.
+    """
     lanes = -(-len(ids) // BLOCK)
     if not lanes:
         return []
-    if int(ids.max()) >= 1 << (8 + _LOW_BITS):
+    if int(ids.max()) >= 1 << 16:
         raise ValueError("ids need more than 16 bits")
+    known = known or Frequencies.counted(ids)
     last = len(ids) - (lanes - 1) * BLOCK
-    steps = np.ascontiguousarray(np.concatenate([ids.astype(np.uint32), np.zeros(lanes * BLOCK - len(ids), np.uint32)]).reshape(lanes, BLOCK).T)
-    model = _Model(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _MASK, np.uint64)
-    out, size = np.zeros((lanes, 2 * BLOCK + 64), np.uint16), np.zeros(lanes, np.int64)
-
-    def put(g, lo):
-        out[g, size[g]] = lo >> _U(_WIDTH - 16)
-        size[g] += 1
-
+    steps = np.ascontiguousarray(np.concatenate([known.symbols(ids), np.zeros(lanes * BLOCK - len(ids), np.uint16)]).reshape(lanes, BLOCK).T)
+    model = _Model(lanes, known)
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, (1 << _WIDTH) - 1, np.int64)
+    out, size = np.zeros((lanes, 2 * BLOCK + 8), np.int32), np.zeros(lanes, np.int64)
     for t in range(BLOCK if lanes > 1 else last):
         n = lanes if t < last else lanes - 1
-        x = steps[t, :n]
-        first, second = model.look(n)
-        choice = np.where(model.guess[0] == x, 0, np.where(model.guess[1] == x, 1, 2))
-        _narrow(low[:n], span[:n], *_part(model, x, choice, first, second))
-        _settle(low[:n], span[:n], put)
-        model.learn(n, x, choice)
-    for shift in range(_WIDTH - 16, -1, -16):
-        put(model.lane, low >> _U(shift) << _U(_WIDTH - 16) & _MASK)
-    put(model.lane, low << _U(_WIDTH - 8) & _MASK)
-    return [out[i, : size[i]].astype("<u2").tobytes() for i in range(lanes)]
-
-
-def decode_blocks(blocks: list[bytes], total: int) -> np.ndarray:
-    """The ids of blocks that :func:`encode_blocks` made."""
+        x = steps[t, :n].astype(np.int64)
+        model.look(n)
+        start, part = model.below(x, n)
+        unit = span[:n] >> (_MIX_BITS + _ID_BITS)
+        low[:n] += start * unit
+        span[:n] = part * unit
+        go = np.flatnonzero(span[:n] < _FLOOR)
+        while len(go):
+            lo, sp, k = low[go], span[go] << _DIGIT, size[go]
+            out[go, k] = lo >> (_WIDTH - _DIGIT)
+            size[go] = k + 1
+            low[go], span[go] = (lo & (_FLOOR - 1)) << _DIGIT, sp
+            go = go[sp < _FLOOR]
+        model.learn(n, x)
+    out[model.lane, size] = (low + _FLOOR - 1) >> (_WIDTH - _DIGIT)  # one digit tells the block's end: zeros may follow it
+    size += 1
+    for k in range(int(size.max()) - 1, 0, -1):
+        out[:, k - 1] += out[:, k] >> _DIGIT
+    out &= (1 << _DIGIT) - 1
+    return [_packed(out[i, : size[i]].astype(np.int64)) for i in range(lanes)]
+
+
+def decode_blocks(blocks: list[bytes], total: int, known: Frequencies | None) -> np.ndarray:
+    """The ids of blocks that :func:`encode_blocks` made with the same counts."""
     lanes = len(blocks)
     if not lanes:
         return np.empty(0, np.uint32)
     last = total - (lanes - 1) * BLOCK
-    words = np.zeros((lanes, max(map(len, blocks)) // 2 + 8), np.uint64)
-    for i, b in enumerate(blocks):
-        words[i, : len(b) // 2] = np.frombuffer(b, "<u2")
-    model = _Model(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _MASK, np.uint64)
-    code, at = np.zeros(lanes, np.uint64), np.zeros(lanes, np.int64)
-    ids = np.zeros((BLOCK, lanes), np.uint32)
-
-    code |= words[:, 0] << _U(_WIDTH - 16) | words[:, 1] << _U(_WIDTH - 32) | words[:, 2] << _U(_WIDTH - 48)
-    code |= words[:, 3] >> _U(8)
-    late = words[:, 3].copy()  # the width isn't a multiple of 16: half a word is always ahead
-    at += 4
-
-    def take(g, _):
-        code[g] = (code[g] << _U(16) & _MASK) | (late[g] & _U(0xFF)) << _U(8)
-        late[g] = words[g, at[g]]
-        code[g] |= late[g] >> _U(8)
-        at[g] += 1
-
+    longest = max(map(len, blocks)) * 2 // 5 + 8
+    digits = np.stack([_unpacked(b, longest) for b in blocks])
+    digits = np.concatenate([digits, np.zeros((lanes, 8), np.int64)], axis=1)
+    model = _Model(lanes, known)
+    span = np.full(lanes, (1 << _WIDTH) - 1, np.int64)
+    code = digits[:, 0] << 2 * _DIGIT | digits[:, 1] << _DIGIT | digits[:, 2]
+    at = np.full(lanes, 3)
+    ids = np.zeros((BLOCK, lanes), np.uint16)
+    most = (1 << (_MIX_BITS + _ID_BITS)) - 1
     for t in range(BLOCK if lanes > 1 else last):
         n = lanes if t < last else lanes - 1
-        first, second = model.look(n)
-        v = ((code[:n] - low[:n]) // (span[:n] >> _U(_FLAG_BITS + _ID_BITS))).astype(np.int64)
-        flag = v >> _ID_BITS
-        choice = (flag >= first).astype(np.int64) + (flag >= second)
-        x = np.where(choice == 0, model.guess[0], model.guess[1])
-        e = np.flatnonzero(choice == 2)
-        if len(e):
-            if model.high_of is None:
-                model.high_of = np.repeat(np.tile(np.arange(256, dtype=np.uint8), lanes), np.diff(model.edges, axis=1).ravel()).reshape(lanes, -1)
-            inner = (v[e] - (second[e] << _ID_BITS)) // ((1 << _FLAG_BITS) - second[e])
-            inner = np.minimum(inner, (1 << _ID_BITS) - 1)
-            high = model.high_of[e, inner >> _LOW_BITS].astype(np.int64)
-            a = model.edges[e, high]
-            x[e] = high << _LOW_BITS | (inner - (a << _LOW_BITS)) // (model.edges[e, high + 1] - a)
-        _narrow(low[:n], span[:n], *_part(model, x, choice, first, second))
-        _settle(low[:n], span[:n], take)
+        model.look(n)
+        unit = span[:n] >> (_MIX_BITS + _ID_BITS)
+        x = model.symbol_at(np.minimum(code[:n] // unit, most), n)
+        start, part = model.below(x, n)
+        code[:n] -= start * unit
+        span[:n] = part * unit
+        go = np.flatnonzero(span[:n] < _FLOOR)
+        while len(go):
+            sp, k = span[go] << _DIGIT, np.minimum(at[go], digits.shape[1] - 1)  # a damaged block may ask for more
+            code[go], span[go], at[go] = code[go] << _DIGIT | digits[go, k], sp, k + 1
+            go = go[sp < _FLOOR]
         ids[t, :n] = x
-        model.learn(n, x, choice)
-    return ids.T.ravel()[:total] if lanes > 1 else ids[:total, 0]
+        model.learn(n, x)
+    found = ids.T.ravel()[:total] if lanes > 1 else ids[:total, 0]
+    return known.ids.astype(np.uint32)[found]
 
 
 # ---------------------------------------------------------------- frames
 
 
 def pack(doc_ids: list[int | None], docs: list[np.ndarray]) -> bytes:
-    """One frame: header, doc ids and lengths, block sizes and checksums, blocks."""
+    """One frame: header, doc ids, lengths and counts of token ids, block sizes and checksums, blocks."""
     ids = np.concatenate(docs) if docs else np.empty(0, np.uint32)
-    blocks = encode_blocks(ids)
+    model = Frequencies.counted(ids) if len(ids) else None
+    blocks = encode_blocks(ids, model)
+    counts = np.concatenate([[len(model.ids)], model.ids, model.counts]).astype("<u4").tobytes() if model else b""
     known = np.array([d is not None for d in doc_ids], np.uint8)
     keys = np.array([d or 0 for d in doc_ids], "<i8")
     lengths = np.array([len(d) for d in docs], "<u4")
-    head = zlib.compress(known.tobytes() + keys.tobytes() + lengths.tobytes(), 1)
+    head = zlib.compress(known.tobytes() + keys.tobytes() + lengths.tobytes() + counts, 6)
     sums = [zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) for i in range(len(blocks))]
     sizes = np.array([[len(b), c] for b, c in zip(blocks, sums, strict=True)], "<u4").reshape(-1, 2)
     return struct.pack("<4sHIQII", MAGIC, VERSION, len(docs), len(ids), len(blocks), len(head)) + head + sizes.tobytes() + b"".join(blocks)
@@ -327,7 +390,9 @@ def unpack(frame: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     for size in sizes[:, 0].tolist():
         blocks.append(frame[at : at + size])
         at += size
-    ids = decode_blocks(blocks, total)
+    counts = np.frombuffer(table, "<u4", -1, 13 * n) if total else []
+    model = Frequencies(*counts[1:].reshape(2, -1)) if total else None
+    ids = decode_blocks(blocks, total, model)
     for i, crc in enumerate(sizes[:, 1].tolist()):
         if zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) != crc:
             raise ValueError(f"block {i} is damaged")
