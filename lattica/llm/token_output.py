@@ -33,7 +33,7 @@ from lattica.llm.common import parts_for, shared_dir
 BLOCK = 4096
 FRAME_BLOCKS = 1536
 #: Words of which a worker remembers the ids.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 MAGIC = b"LTOK"
 VERSION = 2
 
@@ -82,7 +82,7 @@ class Encoder:
         if not new:
             return
         if lead:  # one text for many words: no word holds a space, so a new word begins where an id does
-            runs = [lead + lead.join(new[i : i + 1000]) for i in range(0, len(new), 1000)]
+            runs = [lead + lead.join(new[i : i + 100]) for i in range(0, len(new), 100)]
             ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
             sizes = np.diff(np.concatenate([np.flatnonzero(self.opens[ids]), [len(ids)]]))
         else:
