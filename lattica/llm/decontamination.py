@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,28 @@ class Windows:
         return n, hit, items
 
 
+class Block:
+    """A broadcast block of items under a name that no other block has."""
+
+    def __init__(self, items):
+        self.id, self.items = uuid.uuid4().hex, items
+
+    @property
+    def value(self):
+        return self.items.value
+
+
+_built: dict[tuple[str, int], Windows] = {}
+
+
+def windows_of(block, length: int) -> Windows:
+    """The windows of a broadcast block, built once in each worker; a worker keeps those of one block."""
+    if (block.id, length) not in _built:
+        _built.clear()
+        _built[block.id, length] = Windows(block.value, length)
+    return _built[block.id, length]
+
+
 def blocks_of(bench: DataFrame, chars: int = BLOCK_CHARS):
     """The items in blocks of about ``chars`` characters, one block on the driver at a time."""
     total = bench.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)))).first()[0] or 0
@@ -104,10 +127,10 @@ def scan(docs: DataFrame, bench: DataFrame, length: int = WINDOW, chars: int = B
     schema = ", ".join([*fields, "bench_words long, bench_spans array<array<long>>, bench_items array<string>"])
     first = True
     for items in blocks_of(bench, chars):
-        block = docs.sparkSession.sparkContext.broadcast(items)
+        block = Block(docs.sparkSession.sparkContext.broadcast(items))
 
         def look(batches, block=block, first=first):
-            windows = Windows(block.value, length)
+            windows = windows_of(block, length)
             for batch in batches:
                 rows = []
                 for i, x in enumerate(batch.column("text")):
