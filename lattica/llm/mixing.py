@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import unit_hash, words_in
+from lattica.llm.common import unit_hash, words_in, written
 
 #: Source tables with up to so many rows are broadcast; a row is a name and three numbers. Larger ones are joined by
 #: shuffle, where adaptive execution splits hot sources.
@@ -55,7 +55,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     targets = source_targets(docs, weights, share, most).select(
         F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")
     )
-    if targets.select("mix_source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    targets = written(targets, "targets")  # one row a source; documents are read once for them
+    if targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     plain = docs.drop("mix_source", "mix_source_size", "mix_target", "mix_size", "mix_copies")
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
