@@ -25,6 +25,8 @@ ROLES = {"system": "System", "user": "User", "assistant": "Assistant"}
 ALIASES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 TURN = "struct<role:string,text:string>"
+#: Bytes from which on a record that gives no variant is read as a list of messages: a variant holds 128 MB at most.
+LONG = 64 << 20
 
 # The layouts of records that are known. Lists of messages by field names, and single prompts by role.
 MESSAGE_LISTS = [("messages", "role", "content"), ("messages", "role", "text"), ("conversation", "role", "content"), ("conversations", "from", "value"), ("dialog", "speaker", "text")]
@@ -79,10 +81,22 @@ def _turns_of(record: Column, layout: tuple) -> Column:
     return F.filter(F.array(*turns), lambda t: t.isNotNull())
 
 
+def _long_turns(record: Column) -> Column:
+    """The turns of a record too long for a variant (128 MB), if it is a list of messages; other layouts give null."""
+
+    def read(field: str, role: str, text: str) -> Column:
+        rows = F.from_json(record, f"`{field}` array<struct<`{role}`:string,`{text}`:string>>", {"maxStringLen": str((1 << 31) - 1)})[field]
+        turns = F.transform(rows, lambda m: F.struct(m[role].alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
+        return F.when(F.exists(rows, lambda m: m[text].isNotNull()), turns)
+
+    return F.coalesce(*(read(*layout) for layout in MESSAGE_LISTS))
+
+
 def canonical_turns(records: DataFrame, column: str = "record") -> DataFrame:
     """``records`` with chat_turns, the turns (role, text) of a JSON text.
 
-    Null if it isn't JSON or its layout is unknown. Null texts become empty.
+    Null if it isn't JSON or its layout is unknown. Null texts become empty. Records over LONG bytes that no variant can
+    hold are read by the known lists of messages; single prompts of that size are null.
     """
     nth = {path: i for i, (_, paths) in reversed(list(enumerate(_layouts()))) for path in paths}
     known = F.create_map(*(x for path, i in nth.items() for x in (F.xxhash64(F.lit(path)), F.lit(i))))
@@ -91,6 +105,8 @@ def canonical_turns(records: DataFrame, column: str = "record") -> DataFrame:
     turns = F.lit(None).cast(f"array<{TURN}>")
     for i, (layout, _) in enumerate(_layouts()):
         turns = F.when(F.col("chat_layout") == i, _turns_of(F.col("chat_variant"), layout)).otherwise(turns)
+    too_long = F.col("chat_variant").isNull() & (F.octet_length(column) > LONG)
+    turns = F.when(too_long, _long_turns(F.col(column))).otherwise(turns)
     alias = F.create_map(*(F.lit(x) for pair in ALIASES.items() for x in pair))
     named = F.transform("chat_turns", lambda t: F.struct(F.coalesce(F.try_element_at(alias, t["role"]), t["role"], F.lit("")).alias("role"), t["text"].alias("text")))
     return seen.withColumn("chat_turns", turns).withColumn("chat_turns", named).drop("chat_variant", "chat_layout")
@@ -151,7 +167,7 @@ def read_loss(text: Column, loss: Column) -> Column:
 def format_records(records: DataFrame, column: str = "record") -> DataFrame:
     """``records`` with chat_turns (null: unknown layout), chat_text and chat_loss.
 
-    One row in, one row out, nothing is shuffled. Null, malformed and unknown records give null in all three columns; a
+    One row in, one row out, nothing is shuffled. Single prompts of more than 128 MB, null, malformed and unknown records give null in all three columns; a
     known layout without turns gives an empty text. Other columns stay; columns of the added names are replaced.
     """
     out = canonical_turns(records.drop("chat_turns", "chat_text", "chat_loss"), column)

@@ -1,6 +1,7 @@
 """The operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import json
 import math
 import os
 import random
@@ -191,6 +192,18 @@ def test_chat(spark):
         assert r.learnt == "".join(t for role, t in want if role == "assistant")
 
 
+def test_records_beyond_a_variant(spark, monkeypatch):
+    """Where a record gives no variant for its size, lists of messages are read all the same."""
+    turns = [{"role": "user", "content": "### a"}, {"role": "assistant", "content": "</turn> \\ b"}, {"role": "assistant", "content": None}]
+    rows = [json.dumps({"messages": turns}), json.dumps({"conversations": [{"from": "human", "value": "x"}, {"from": "gpt", "value": "y"}]}), "{", json.dumps({"prompt": "p", "completion": "c"})]
+    table = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id int, record string")
+    usual = {r.id: r.chat_text for r in chat.format_records(table).collect()}
+    monkeypatch.setattr(chat, "LONG", 0)
+    monkeypatch.setattr(chat.F, "try_parse_json", lambda c: F.lit(None).cast("variant"))
+    got = {r.id: r.chat_text for r in chat.format_records(table).collect()}
+    assert got[0] == usual[0] and got[1] == usual[1] and usual[0] and usual[1] and got[2] is None and got[3] is None
+
+
 def test_chat_layouts(spark):
     cases = {
         '{"messages":[{"content":"a","role":"user"},{"role":"assistant","content":null}]}': [("user", "a"), ("assistant", "")],
