@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import chat, decontamination, language_model, line_dedup, mixing, near_dedup, quality_model, quality_rules, substring_dedup, token_output
+from lattica.llm import chat, decontamination, language_model, line_dedup, mixing, near_dedup, prefix_trie, quality_model, quality_rules, spelling, substring_dedup, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fuzzy_lines": line_dedup.op8,
         "op9_decontaminate": decontamination.op9,
         "op10_remove_repeats": substring_dedup.op10,
+        "op11_spelling_variants": spelling.op11,
+        "op13_prefix_trie": prefix_trie.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.OP1_SQL, "op4_chat_format": chat.OP4_SQL}
+    return {"op1_mix_sources": mixing.OP1_SQL, "op4_chat_format": chat.OP4_SQL, "op11_spelling_variants": spelling.OP11_SQL, "op13_prefix_trie": prefix_trie.OP13_SQL}
