@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import chat, decontamination, language_model, line_dedup, mixing, near_dedup, prefix_trie, quality_model, quality_rules, spelling, substring_dedup, token_output
+from lattica.llm import chat, decontamination, language_model, line_dedup, main_text, mixing, near_dedup, prefix_trie, quality_model, quality_rules, spelling, substring_dedup, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontaminate": decontamination.op9,
         "op10_remove_repeats": substring_dedup.op10,
         "op11_spelling_variants": spelling.op11,
+        "op12_main_text": main_text.op12,
         "op13_prefix_trie": prefix_trie.op13,
     }
 
