@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from lattica.functions import fixed
 from lattica.functions import text as T
+from lattica.tables import stored
 
 
-def term_counts(notes: DataFrame) -> DataFrame:
-    """(user_id, note_id, word, tf, first_pos): words of title, title again and text; partial counts combine before the shuffle."""
+def term_counts(notes: DataFrame, *keep: str) -> DataFrame:
+    """(user_id, note_id, word, tf, first_pos, and columns to keep): words of title, title again and text.
+
+    A note's words travel once, to the note's partition, where they are counted and later ranked.
+    """
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("title", F.lit("")), F.coalesce("content_text", F.lit("")))
-    w = notes.select("user_id", "note_id", F.posexplode(T.words(text)).alias("pos", "word"))
-    w = w.filter((F.length("word") > 2) & ~F.col("word").isin(fixed.KEYWORD_STOPWORDS))
-    return w.groupBy("user_id", "note_id", "word").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
+    runs = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{3,}"), F.lit(0))
+    w = notes.select("user_id", "note_id", *keep, F.posexplode(runs).alias("pos", "word"))
+    w = w.filter(~F.col("word").isin(fixed.KEYWORD_STOPWORDS)).repartition("note_id")
+    return w.groupBy("user_id", "note_id", *keep, "word").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
 
 
 def _ranked(scored: DataFrame, top: int, *by: str) -> DataFrame:
@@ -24,15 +29,18 @@ def _ranked(scored: DataFrame, top: int, *by: str) -> DataFrame:
     return scored.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
-def keywords(notes: DataFrame, top: int = fixed.KEYWORDS_PER_NOTE) -> DataFrame:
-    """(user_id, note_id, keyword, score, rank) without a corpus: rarity is a constant. Notes without words give no rows."""
+def keywords(notes: DataFrame, top: int = fixed.KEYWORDS_PER_NOTE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(user_id, note_id, keyword, score, rank, and columns of the note to keep) without a corpus: rarity is a constant.
+
+    Notes without words give no rows.
+    """
     score = F.round(F.col("tf") * (F.log(F.lit(2.0)) + 1) * (1 + F.log(F.length("word").cast("double"))), 6)
-    return _ranked(term_counts(notes).withColumn("score", score), top, "note_id").select("user_id", "note_id", F.col("word").alias("keyword"), "score", "rank")
+    return _ranked(term_counts(notes, *keep).withColumn("score", score), top, "note_id").select("user_id", "note_id", F.col("word").alias("keyword"), "score", "rank", *keep)
 
 
 def corpus_keywords(notes: DataFrame, top: int = fixed.KEYWORDS_PER_NOTE) -> DataFrame:
-    """Keywords with each user's notes as the corpus. Document frequencies are joined on (user, word)."""
-    counts = term_counts(notes)
+    """Keywords with each user's notes as the corpus. Words are counted once; document frequencies are joined on (user, word)."""
+    counts = stored(term_counts(notes), "counts")
     df = counts.groupBy("user_id", "word").agg(F.count("*").alias("df"))
     size = notes.groupBy("user_id").agg(F.count("*").alias("n"))
     scored = counts.join(df, ["user_id", "word"]).join(size, "user_id")

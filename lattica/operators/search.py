@@ -15,15 +15,19 @@ from lattica.functions import text as T
 
 def query_terms(query: str) -> list[str]:
     """The words of a query that count, in order."""
-    return [w for w in re.sub("[^a-z0-9]+", " ", query.lower()).split() if len(w) > 2 and w not in set(fixed.KEYWORD_STOPWORDS)]
+    stop = set(fixed.KEYWORD_STOPWORDS)
+    return [w for w in re.findall("[a-z0-9]+", query.lower()) if len(w) > 2 and w not in stop]
 
 
 def query_keywords(query: str, top: int = fixed.KEYWORDS_PER_NOTE) -> list[str]:
-    """The keywords of a query, which is one short text on the driver."""
+    """The keywords of a query or of another text, in one pass over its words."""
     words = query_terms(query)
-    score = {w: round(words.count(w) * (math.log(2) + 1) * (1 + math.log(len(w))), 6) for w in words}
-    number = {w: int(w) if re.fullmatch("0|[1-9][0-9]{0,8}", w) else None for w in words}
-    return sorted(score, key=lambda w: (-score[w], number[w] is None, number[w] or 0, words.index(w)))[:top]
+    counts, first = Counter(words), {}
+    for i, w in enumerate(words):
+        first.setdefault(w, i)
+    score = {w: round(n * (math.log(2) + 1) * (1 + math.log(len(w))), 6) for w, n in counts.items()}
+    number = {w: int(w) if re.fullmatch("0|[1-9][0-9]{0,8}", w) else None for w in counts}
+    return sorted(score, key=lambda w: (-score[w], number[w] is None, number[w] or 0, first[w]))[:top]
 
 
 def _pattern(query: str, literal: bool) -> str:

@@ -11,7 +11,13 @@ def _list(words: list[str]) -> str:
 
 NOTES = """notes AS (
   SELECT doc_id AS note_id, source AS user_id, substr(text, 1, 40) AS title, text AS content_text, [lang, source] AS tags,
-    TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS updated_at FROM documents)"""
+    TIMESTAMP '2024-01-01' + to_minutes(doc_id * 7919 % 100003) AS updated_at FROM documents)"""
+
+#: Notes after some came, changed and went, as ``q_links_changed`` has them.
+CHANGED = """notes AS (
+  SELECT doc_id AS note_id, source AS user_id, substr(text, 1, 40) AS title, CASE WHEN doc_id % 10 = 4 THEN substr(text, 200, 400) ELSE text END AS content_text,
+    TIMESTAMP '2024-01-01' + to_minutes(doc_id * 7919 % 100003) + CASE WHEN doc_id % 10 = 4 THEN INTERVAL 100 DAY ELSE INTERVAL 0 DAY END AS updated_at
+  FROM documents WHERE doc_id % 10 <> 5)"""
 
 _SPLIT = "string_split(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' ')"
 _RANK = "row_number() OVER (PARTITION BY {} ORDER BY {} DESC, CASE WHEN iv IS NULL THEN 1 ELSE 0 END, coalesce(iv, 0), {})"
@@ -31,7 +37,8 @@ pairs AS (SELECT a.user_id, a.note_id AS source, b.note_id AS target, count(*) A
   FROM kw a JOIN kw b ON a.user_id = b.user_id AND a.keyword = b.keyword AND a.note_id <> b.note_id GROUP BY ALL),
 strong AS (SELECT p.user_id, source, target, round(n / greatest(size, 1), 4) AS strength, shared FROM pairs p JOIN size s ON s.note_id = p.source),
 own AS (SELECT * FROM strong WHERE strength > 0.15 QUALIFY row_number() OVER (PARTITION BY source ORDER BY strength DESC, target) <= 8),
-back AS (SELECT user_id, target AS note_id, source AS other, strength, shared FROM own WHERE source > target),
+back AS (SELECT own.user_id, target AS note_id, source AS other, strength, shared FROM own JOIN notes a ON a.note_id = source JOIN notes b ON b.note_id = target
+  WHERE a.updated_at > b.updated_at OR a.updated_at = b.updated_at AND source > target),
 final AS (SELECT coalesce(o.user_id, b.user_id) AS user_id, coalesce(o.source, b.note_id) AS note_id, coalesce(o.target, b.other) AS other,
     coalesce(b.strength, o.strength) AS strength, coalesce(b.shared, o.shared) AS shared
   FROM own o FULL JOIN back b ON o.user_id = b.user_id AND o.source = b.note_id AND o.target = b.other)"""
@@ -164,6 +171,16 @@ def statements() -> dict[str, str]:
         "q_search_long": searched(LONG_QUERY.split()),
         "q_search_regex": f"WITH {SEARCHABLE}, x AS (SELECT * FROM s WHERE {regex('th.on')} ORDER BY note_id LIMIT 20) SELECT {_results('thion')} FROM x",
         "q_search_tagfilter": f"WITH {SEARCHABLE}, x AS (SELECT * FROM s WHERE {regex('er')} ORDER BY note_id LIMIT 20) SELECT note_id, title FROM x WHERE list_has_any(tags, ['de', 'src3'])",
+        "q_search_indexed": f"SELECT query_id, note_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id)::INT AS place FROM (SELECT 0::BIGINT AS query_id, * FROM ({searched(terms)}) UNION ALL SELECT 1::BIGINT, * FROM ({searched(LONG_QUERY.split())}))",
+        "q_search_batch": f"""WITH {NOTES}, f AS (SELECT note_id, unnest([0, 1, 2]) AS field, unnest([{", ".join(lists)}]) AS ws FROM notes),
+            q AS (SELECT item_id AS query_id, unnest({_SPLIT.format("substr(text, 1, 80)")}) AS term FROM benchmark),
+            asked AS (SELECT query_id, term, count(*) AS n FROM q WHERE length(term) > 2 AND term NOT IN {_list(fixed.KEYWORD_STOPWORDS)} GROUP BY ALL),
+            tf AS (SELECT note_id, field, len(ws) AS words, unnest(ws) AS term FROM f),
+            hits AS (SELECT query_id, note_id, field, n * count(*) / any_value(words)::DOUBLE AS part FROM tf JOIN asked USING (term) GROUP BY query_id, note_id, field, term, n),
+            scored AS (SELECT query_id, note_id, round(sum(part), 6) AS score FROM hits GROUP BY query_id, note_id)
+            SELECT query_id, note_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id)::INT AS place FROM scored WHERE score > 0 QUALIFY place <= 20""",
+        "q_links_changed": f"WITH {LINKS.replace(NOTES, CHANGED)} SELECT * FROM final",
+        "q_versions_stream": f"WITH {VERSIONS} SELECT note_id, version_number, saved_at, content_text FROM versions",
         "q_snippet": f"WITH {NOTES} SELECT note_id, {_snippet('Tion')} AS snippet FROM notes",
         "q_versions": f"WITH {VERSIONS} SELECT note_id, version_number, saved_at, content_text FROM versions",
         "q_version_list": f"WITH {VERSIONS} SELECT note_id, version_number, saved_at, substr(content_text, 1, 100) AS preview, age = 1 AS current FROM versions",
@@ -214,7 +231,9 @@ def statements() -> dict[str, str]:
             SELECT note_id, '[' || coalesce(cards, '') || ']' AS answer FROM n LEFT JOIN j USING (note_id)""",
         "q_card_deck": f"""WITH {CARDS} SELECT conv_id, turn, coalesce(lag(turn) OVER w, max(turn) OVER (PARTITION BY conv_id)) AS previous,
             coalesce(lead(turn) OVER w, min(turn) OVER (PARTITION BY conv_id)) AS next FROM cards WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
-        "q_commands": "SELECT * FROM (VALUES ('todo', 'Todo List'), ('graph', 'Graph Link')) v(id, title)",
+        "q_commands": """SELECT asked, id, title FROM (SELECT DISTINCT '/' || upper(substr(p_name, 1, 2)) AS asked FROM part)
+            JOIN (VALUES ('todo', 'Todo List', 'checkbox task'), ('table', 'Table', 'grid'), ('graph', 'Graph Link', 'knowledge')) v(id, title, more)
+            ON contains(lower(id || ' ' || title), lower(trim(substr(asked, 2)))) OR contains(more, lower(trim(substr(asked, 2))))""",
         "q_coloured_edges": f"WITH {GLOBAL} SELECT e.user_id, e.id, colour FROM gedges e LEFT JOIN (SELECT user_id, id, colour FROM gnodes WHERE type = 'note') n ON n.user_id = e.user_id AND n.id = e.source",
         "q_importance": f"WITH {graph} SELECT note_id, keyword, floor(kw_score * 100 + 0.5)::INT AS percent FROM gs",
         "q_note_counts": "SELECT source AS user_id, count(*) AS notes FROM documents GROUP BY 1",

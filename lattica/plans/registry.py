@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import text as T
-from lattica.operators import assist, export, graph, keywords, links, search, store, versions, views
+from lattica.operators import assist, export, graph, keywords, links, postings, search, store, versions, views
 from lattica.plans import oracle
 from lattica.session import table
+from lattica.streaming import history, linking
+from lattica.tables import fresh_path, stored
 from lattica.sources import notes as src
 
 #: What the search queries ask for.
@@ -24,12 +26,17 @@ def _kw(spark, d):
     return keywords.keywords(src.notes(spark, d))
 
 
+def _stored_kw(spark, d):
+    """Keywords that several parts of a plan use, worked out once; updated_at goes with them."""
+    return stored(keywords.keywords(src.notes(spark, d), keep=("updated_at",)), "keywords")
+
+
 def _own(spark, d):
-    return links.own_links(_kw(spark, d))
+    return links.own_links(_stored_kw(spark, d))
 
 
 def _final(spark, d):
-    return links.final_links(_own(spark, d), src.notes(spark, d))
+    return links.final_links(_own(spark, d))
 
 
 def _recent(spark, d):
@@ -39,7 +46,7 @@ def _recent(spark, d):
 
 def _added(spark, d):
     n = src.notes(spark, d)
-    kw = keywords.keywords(n)
+    kw = _stored_kw(spark, d)
     shown, asked = graph.note_graphs(n, kw, EXPANDED[:2]), kw.filter(F.col("keyword").isin(EXPANDED))
     new = graph.expansion(graph.sub_keywords(n, kw, asked.select("note_id", "keyword")))
     ids = lambda pair: pair[0].select("note_id", "id", "type").unionByName(pair[1].select("note_id", "id", "type"))
@@ -72,6 +79,39 @@ def _all_bulk(spark, d):
     return export.bulk_markdown(n, users)
 
 
+def _relinked(spark, d):
+    """Links of notes that are built without some, then told of new, changed and deleted ones."""
+    n, path, turn = src.notes(spark, d), fresh_path(spark, "links"), F.col("note_id") % 10
+    linking.build(n.filter(turn != 3), path)
+    linking.apply(_changed(n).filter(turn.isin(3, 4)), n.filter(turn == 5).select("note_id"), path)
+    return linking.final_links(spark, path)
+
+
+def _changed(n):
+    """A tenth of the notes with another text and a later date."""
+    now = F.col("note_id") % 10 == 4
+    return n.withColumns({
+        "content_text": F.when(now, F.substring("content_text", 200, 400)).otherwise(F.col("content_text")),
+        "updated_at": F.when(now, F.col("updated_at") + F.expr("INTERVAL 100 DAYS")).otherwise(F.col("updated_at")),
+    })
+
+
+def _indexed(spark, d, queries):
+    path = fresh_path(spark, "postings")
+    postings.write(src.notes(spark, d), path)
+    return postings.search(spark, path, queries)
+
+
+def _both_searches(spark, d):
+    asked = spark.range(2).select(F.col("id").alias("query_id"), F.when(F.col("id") == 0, QUERY).otherwise(LONG_QUERY).alias("query"))
+    return _indexed(spark, d, asked)
+
+
+def _searched_items(spark, d):
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("query"))
+    return _indexed(spark, d, items)
+
+
 def _searchable(spark, d):
     n = src.notes(spark, d)
     return search.with_keywords(n, keywords.keywords(n))
@@ -79,18 +119,18 @@ def _searchable(spark, d):
 
 def _note_graph(spark, d, k):
     n = src.notes(spark, d)
-    kw = keywords.keywords(n)
+    kw = _stored_kw(spark, d)
     return graph.note_graphs(n, kw, EXPANDED)[k]
 
 
 def _expand(spark, d):
     n = src.notes(spark, d)
-    return graph.sub_keywords(n, keywords.keywords(n), n.select("note_id", F.explode(F.array(*map(F.lit, EXPANDED))).alias("keyword")))
+    return graph.sub_keywords(n, _kw(spark, d), EXPANDED)
 
 
 def _global(spark, d):
     n = src.notes(spark, d)
-    kw = keywords.keywords(n)
+    kw = _stored_kw(spark, d)
     return graph.global_nodes(n, kw), graph.global_edges(kw)
 
 
@@ -160,11 +200,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_tokenise_graph": _tokens(oracle.fixed.GRAPH_STOPWORDS, 3),
         "q_keywords": _kw,
         "q_keywords_corpus": lambda s, d: keywords.corpus_keywords(src.notes(s, d)),
-        "q_color_map": lambda s, d: keywords.topic_colours(src.notes(s, d), _kw(s, d)),
-        "q_links_top8": lambda s, d: _own(s, d).drop("place"),
+        "q_color_map": lambda s, d: keywords.topic_colours(src.notes(s, d), _stored_kw(s, d)),
+        "q_links_top8": lambda s, d: _own(s, d).drop("place", "at_source", "at_target"),
         "q_links_final": _final,
         "q_links_populated": lambda s, d: links.populated(_final(s, d), src.notes(s, d)),
-        "q_related_overlap": lambda s, d: links.related(_kw(s, d)),
+        "q_related_overlap": lambda s, d: links.related(_stored_kw(s, d)),
         "q_unlink": _unlinked,
         "q_delete_note": _deleted,
         "q_note_graph_nodes": lambda s, d: _note_graph(s, d, 0),
@@ -184,6 +224,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_search_long": lambda s, d: search.relevant(src.notes(s, d), LONG_QUERY).select("note_id", "score"),
         "q_search_regex": lambda s, d: search.results(search.matching(_searchable(s, d), "th.on", literal=False), "thion"),
         "q_search_tagfilter": lambda s, d: search.only_tagged(search.matching(_searchable(s, d), "er"), "de,src3").select("note_id", "title"),
+        "q_search_indexed": _both_searches,
+        "q_search_batch": _searched_items,
+        "q_links_changed": _relinked,
+        "q_versions_stream": lambda s, d: history.replayed(src.saves(s, d)).drop("age"),
         "q_snippet": lambda s, d: src.notes(s, d).select("note_id", T.snippet(F.col("content_text"), "Tion").alias("snippet")),
         "q_versions": lambda s, d: versions.versions(src.saves(s, d)).drop("age"),
         "q_version_list": lambda s, d: versions.listing(versions.versions(src.saves(s, d))),
@@ -216,9 +260,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_validate_notes": _bad_notes,
         "q_bulk_markdown_all": _all_bulk,
         "q_card_deck": lambda s, d: views.deck(views.tidy_cards(src.flashcards(s, d))),
-        "q_commands": lambda s, d: views.commands(s, "/LI").select("id", "title"),
+        "q_commands": lambda s, d: views.commands_asked(table(s, d, "part").select(F.concat(F.lit("/"), F.upper(F.substring("p_name", 1, 2))).alias("asked"))),
         "q_coloured_edges": lambda s, d: views.coloured_edges(*_global(s, d)).select("user_id", "id", "colour"),
-        "q_importance": lambda s, d: views.importance(graph.keyword_scores(src.notes(s, d), _kw(s, d))),
+        "q_importance": lambda s, d: views.importance(graph.keyword_scores(src.notes(s, d), _stored_kw(s, d))),
         "q_note_counts": lambda s, d: views.counts(src.notes(s, d)),
         "q_notes_newest": lambda s, d: views.newest_first(src.notes(s, d)),
         "q_note_by_owner": lambda s, d: store.owned(src.notes(s, d), 7, "src7").select("note_id", "title"),

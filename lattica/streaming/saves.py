@@ -1,39 +1,28 @@
-"""Saves as a stream: each micro-batch rewrites the versions and relinks what it touched."""
+"""Saves as a stream that keeps links up: each micro-batch is applied to the link tables as a delta."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators import keywords, links, store, versions
+from lattica.streaming import linking
 
 
-def relinked(notes: DataFrame, changed: DataFrame) -> DataFrame:
-    """Links of all users with changed notes: an overlap has both ends with one user, so other users' links can't change."""
-    touched = notes.join(changed.select("user_id").distinct(), "user_id", "left_semi")
-    return links.final_links(links.own_links(keywords.keywords(touched)))
+def newest(saves: DataFrame) -> DataFrame:
+    """The last save of each note as a note: by saved_at, then text, title and user, so a tie has one outcome."""
+    last = F.max(F.struct("saved_at", "content_text", "title", "user_id")).alias("n")
+    return saves.groupBy("note_id").agg(last).select("note_id", "n.user_id", "n.title", "n.content_text", F.col("n.saved_at").alias("updated_at"))
 
 
-def start(saves: DataFrame, notes_path: str, log_path: str, links_path: str, checkpoint: str):
-    """A query that applies each batch of saves (note_id, user_id, title, content_text, saved_at).
+def start(saves: DataFrame, links_path: str, checkpoint: str, buckets: int = linking.BUCKETS, **trigger):
+    """A query that applies each batch of saves (note_id, user_id, title, content_text, saved_at) to the tables of ``linking``.
 
-    The log is append-only, partitioned by batch, and a batch that is run again overwrites its own part, so every save
-    counts once. Notes and links are written as new tables per batch.
+    The tables have been built before, of whatever notes there were. A batch that is run again changes nothing further.
+    Version histories are a stream of their own, in ``history``.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        log = spark.read.option("basePath", log_path).parquet(log_path)
-        newest = log.groupBy("note_id").agg(F.max_by(F.struct("user_id", "title", "content_text"), "saved_at").alias("n")).select("note_id", "n.*")
-        merged = store.upserted(spark.read.parquet(notes_path), newest)
-        merged.write.mode("overwrite").parquet(f"{links_path}/notes/batch={number}")
-        after = spark.read.parquet(f"{links_path}/notes/batch={number}")
-        relinked(after, batch).write.mode("overwrite").parquet(f"{links_path}/links/batch={number}")
+        linking.apply(newest(batch), None, links_path, buckets)
 
-    return saves.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
-
-
-def history(spark, log_path: str) -> DataFrame:
-    """The capped versions of all saves so far."""
-    return versions.versions(spark.read.option("basePath", log_path).parquet(log_path).drop("batch"))
+    writer = saves.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()

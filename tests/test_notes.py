@@ -178,21 +178,6 @@ def test_content(spark):
     assert [r.f for r in got] == ["", "x", "x y z", "x", "", "", ""]
 
 
-def test_stream(spark, tmp_path, notes):
-    from lattica.streaming import saves
-
-    notes.drop("tags").write.parquet(str(tmp_path / "notes"))
-    schema = "note_id long, user_id string, title string, content_text string, saved_at long"
-    spark.createDataFrame([(4, "u", "Graph nodes", "graph edges nodes", 1), (4, "u", "Graph nodes", "graph edges", 2)], schema).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    query = saves.start(stream, str(tmp_path / "notes"), str(tmp_path / "log"), str(tmp_path / "out"), str(tmp_path / "cp"))
-    query.processAllAvailable()
-    query.stop()
-    after = spark.read.parquet(str(tmp_path / "out/links/batch=0"))
-    assert {(r.note_id, r.other) for r in after.collect()} >= {(4, 1), (1, 4)}
-    assert [r.version_number for r in saves.history(spark, str(tmp_path / "log")).orderBy("saved_at").collect()] == [1, 2]
-
-
 def test_requests_and_their_content(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"title":"a","contentText":"b","tags":["x"]}\n{"title":"c","content":"[{\\"text\\":\\"d\\"}]"}\n')
     from lattica.sources import notes as src
