@@ -445,6 +445,45 @@ def test_changed_lines_are_found(spark):
     assert again == got
 
 
+def test_lines_that_differ_in_several_words(spark):
+    """Recall where several words are replaced, dropped, added or mistyped, up to 15 % of them, in lines of any length."""
+    rng = random.Random(31)
+    words_ = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 10))) for _ in range(4000)]
+
+    def replaced(w, k):
+        for i in rng.sample(range(len(w)), k):
+            w[i] = rng.choice(words_)
+
+    def mistyped(w, k):
+        for i in rng.sample(range(len(w)), k):
+            w[i] = w[i] + "q"
+
+    def dropped(w, k):
+        for i in sorted(sorted(range(len(w)), key=lambda i: len(w[i]))[:k], reverse=True):
+            del w[i]
+
+    def added(w, k):
+        for i in sorted(rng.sample(range(len(w)), k), reverse=True):
+            w.insert(i, rng.choice(words_)[:3])
+
+    cases = [(f, n, k) for n, ks in ((10, [2]), (12, [2]), (20, [3]), (40, [6]), (90, [9]), (120, [3, 6, 12, 18]), (300, [45])) for k in ks for f in (replaced, mistyped, dropped, added)]
+    rows, pairs = [], {}
+    for f, n, k in cases:
+        for _ in range(20):
+            w = rng.choices(words_, k=n)
+            x = list(w)
+            f(x, k)
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(x))]
+            a, b = rows[-2][1], rows[-1][1]
+            if alike(a, b) if max(len(a), len(b)) <= line_dedup.LONG else alike(w, x):
+                pairs.setdefault((f.__name__, n, k), []).append(rows[-1][0])
+    got = {r.doc_id: r.line_removed for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert not any(got[i] for i, _ in rows[::2])
+    assert len(pairs) > 30
+    low = {c: sum(got[i] for i in found) / len(found) for c, found in pairs.items() if sum(got[i] for i in found) < 0.9 * len(found) and len(found) > 9}
+    assert not low
+
+
 def test_lines_of_documents(spark, sf):
     """All pairs of lines up to 600 characters of a whole table, by brute force."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
