@@ -27,7 +27,7 @@ yours also make made new one two three first second last many much now way time
 
 # Colours of topics (by top keyword) and of notes in the global graph (by position); the first eight agree.
 GRAPH_COLOURS = ["#6366f1", "#f59e0b", "#10b981", "#ef4444", "#3b82f6", "#8b5cf6", "#f97316", "#14b8a6", "#e879f9", "#84cc16", "#fb7185", "#38bdf8"]
-TOPIC_COLOURS = GRAPH_COLOURS[:8]
+TOPIC_COLOURS = ["#6366f1", "#f59e0b", "#10b981", "#ef4444", "#3b82f6", "#8b5cf6", "#f97316", "#14b8a6"]
 
 # Limits.
 KEYWORDS_PER_NOTE = 10
@@ -42,11 +42,10 @@ UPLOAD_CHARS = 10_000
 TITLE_CHARS = 200
 
 # What a language model is asked for each study feature.
-_JSON_ONLY = "Return ONLY a valid JSON array — no markdown, no code fences, no explanation, nothing else. Format exactly: "
 PROMPTS = {
     "summarize": "Summarize the following notes in 4-5 clear sentences highlighting the main ideas. Write in plain prose, no bullet points.",
-    "flashcards": "Generate 6 flashcard Q&A pairs from these notes. " + _JSON_ONLY + '[{"q":"question","a":"answer"}]',
-    "concepts": "Extract 8 key concepts from these notes. " + _JSON_ONLY + '[{"term":"term","definition":"one sentence definition"}]',
-    "examQs": "Generate 5 exam-style questions with detailed answers from these notes. " + _JSON_ONLY + '[{"question":"q","answer":"a"}]',
+    "flashcards": "Generate 6 flashcard Q&A pairs from these notes. Return ONLY a valid JSON array — no markdown, no code fences, no explanation, nothing else. Format exactly: [{\"q\":\"question\",\"a\":\"answer\"}]",
+    "concepts": "Extract 8 key concepts from these notes. Return ONLY a valid JSON array — no markdown, no code fences, no explanation, nothing else. Format exactly: [{\"term\":\"term\",\"definition\":\"one sentence definition\"}]",
+    "examQs": "Generate 5 exam-style questions with detailed answers from these notes. Return ONLY a valid JSON array — no markdown, no code fences, no explanation, nothing else. Format exactly: [{\"question\":\"q\",\"answer\":\"a\"}]",
     "eli5": "Explain the following notes as if explaining to a 12-year-old. Use simple words, short sentences, and fun analogies. No jargon.",
 }

@@ -190,6 +190,13 @@ def statements() -> dict[str, str]:
         "q_update": f"WITH {NOTES} SELECT note_id, CASE WHEN note_id % 6 = 0 THEN 'new ' || title ELSE title END AS title, length(content_text)::BIGINT AS n_chars FROM notes",
         "q_upsert": f"WITH {NOTES}, c AS (SELECT note_id * 2 AS note_id, 'changed' AS title FROM notes WHERE note_id % 3 = 0) SELECT note_id, title FROM notes WHERE note_id NOT IN (SELECT note_id FROM c) UNION ALL SELECT * FROM c",
         "q_starred": f"WITH {NOTES} SELECT note_id, title FROM notes WHERE note_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
+        "q_export_files": f"""WITH {NOTES}, f AS (SELECT note_id, {_FILE} AS name, '# ' || {title} || chr(10) || chr(10) || 'Tags: ' || array_to_string(tags, ', ') || chr(10) || chr(10) || content_text AS body FROM notes)
+            SELECT name || CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN '.' || note_id ELSE '' END || '.md' AS file_name, md5(body) AS body_md5 FROM f""",
+        "q_llm_calls": f"""WITH {NOTES}, p AS (SELECT note_id, length('{fixed.PROMPTS["concepts"]}' || chr(10) || chr(10) || 'Notes:' || chr(10) || content_text) AS n FROM notes WHERE trim(content_text) <> ''),
+            s AS (SELECT note_id, n, CASE WHEN n % 7 = 0 THEN 'failed' WHEN n % 11 = 0 THEN 'unavailable' ELSE 'answered' END AS status FROM p)
+            SELECT note_id, status, CASE WHEN status = 'failed' THEN 1 WHEN status = 'unavailable' THEN 4 WHEN n % 3 = 0 THEN 3 ELSE 1 END::INT AS attempts,
+              CASE WHEN status = 'answered' THEN '[' || n || ']' END AS answer,
+              CASE status WHEN 'failed' THEN 'AI processing failed: 400 the prompt is no good' WHEN 'unavailable' THEN 'Service temporarily unavailable — try again in a moment' END AS error FROM s""",
         "q_export_markdown": f"WITH {NOTES} SELECT note_id, {_FILE} AS file_name, '# ' || {title} || chr(10) || chr(10) || 'Tags: ' || array_to_string(tags, ', ') || chr(10) || chr(10) || content_text AS body FROM notes",
         "q_export_text": f"WITH {NOTES} SELECT note_id, {_FILE} AS file_name, content_text AS body FROM notes",
         "q_export_pdf_rows": f"WITH {NOTES} SELECT note_id, {title} AS title, 'Tags: ' || array_to_string(tags, ', ') AS tag_line, CASE WHEN content_text = '' THEN 'No content' ELSE content_text END AS body FROM notes",

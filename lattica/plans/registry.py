@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import text as T
-from lattica.operators import assist, export, graph, keywords, links, postings, search, store, versions, views
+from lattica.operators import assist, export, graph, keywords, links, postings, provider, search, store, versions, views
 from lattica.plans import oracle
 from lattica.session import table
 from lattica.streaming import history, linking
 from lattica.tables import fresh_path, stored
+from lattica.sources import note_files
 from lattica.sources import notes as src
 
 #: What the search queries ask for.
@@ -112,6 +113,18 @@ def _searched_items(spark, d):
     return _indexed(spark, d, items)
 
 
+def _called(spark, d):
+    path = fresh_path(spark, "answers")
+    prompted = assist.prompts(src.notes(spark, d), "concepts")
+    return provider.ask_all(prompted, provider.Rehearsal(), path, at_once=100_000, wait=0.0).select("note_id", "status", "attempts", "answer", "error")
+
+
+def _filed(spark, d):
+    path = fresh_path(spark, "note-files")
+    note_files.write_files(export.markdown(src.notes(spark, d)), path)
+    return note_files.read_back(spark, path).select("file_name", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
 def _searchable(spark, d):
     n = src.notes(spark, d)
     return search.with_keywords(n, keywords.keywords(n))
@@ -238,6 +251,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_upsert": _upserted,
         "q_starred": lambda s, d: store.starred(src.notes(s, d), src.stars(s, d)).select("note_id", "title"),
         "q_export_markdown": lambda s, d: export.markdown(src.notes(s, d)),
+        "q_export_files": _filed,
+        "q_llm_calls": _called,
         "q_export_text": lambda s, d: export.plain(src.notes(s, d)),
         "q_export_pdf_rows": lambda s, d: export.pdf_rows(src.notes(s, d)),
         "q_bulk_markdown": lambda s, d: export.bulk_markdown(src.notes(s, d)),

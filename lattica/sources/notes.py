@@ -7,6 +7,7 @@ import json
 import re
 import zipfile
 from collections.abc import Callable
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -72,16 +73,23 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def docx_text(raw: bytes) -> str:
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        xml = z.read("word/document.xml").decode()
-    runs = re.sub(r"<w:t[^>]*>([^<]*)</w:t>|</w:p>|<[^>]+>", lambda m: m[1] if m[1] is not None else "\n" if m[0] == "</w:p>" else "", xml)
-    return runs.replace("&lt;", "<").replace("&gt;", ">").replace("&amp;", "&")
+    """Runs of text in order, a line a paragraph. The document is parsed as XML, so every character reference is decoded."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z, z.open("word/document.xml") as xml:
+        found = []
+        for _, node in ElementTree.iterparse(xml):
+            kind = node.tag.rpartition("}")[2]
+            if kind in ("t", "tab", "br", "cr"):
+                found.append((node.text or "") if kind == "t" else "\t" if kind == "tab" else "\n")
+            elif kind == "p":
+                found.append("\n")
+                node.clear()
+        return "".join(found)
 
 
 def read_files(spark: SparkSession, path: str, pdf: Callable[[bytes], str] | None = None, glob: str = "*.{txt,md,pdf,docx}") -> DataFrame:
     """Files below ``path`` as filename, text. PDF needs a parser; without one PDF files are left out.
 
-    Files over the upload limit, of other kinds, or that can't be parsed give no row.
+    Files over the upload limit, of other kinds, or that can't be parsed, whatever the parser raises, give no row.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     files = files.filter(F.col("length") <= fixed.UPLOAD_BYTES).select(F.regexp_extract("path", "[^/]+$", 0).alias("filename"), "content")
@@ -93,7 +101,7 @@ def read_files(spark: SparkSession, path: str, pdf: Callable[[bytes], str] | Non
         def one(k, raw):
             try:
                 return parsers[k](raw)
-            except (ValueError, KeyError, zipfile.BadZipFile):
+            except Exception:  # noqa: BLE001  a damaged file is no reason to lose the others
                 return None
 
         return pd.Series([one(k, raw) for k, raw in zip(kind, content, strict=True)], dtype=object)
@@ -104,20 +112,21 @@ def read_files(spark: SparkSession, path: str, pdf: Callable[[bytes], str] | Non
 
 
 def flat_blocks(content: str | None) -> str:
-    """The text of nested blocks: each block's text, content and children in turn, joined by blanks."""
+    """The text of nested blocks: a block's own text, content and children that aren't empty, and the parts of a list, joined by blanks."""
 
     def walk(x):
         if isinstance(x, str):
-            return [x]
+            return x
         if isinstance(x, list):
-            return [t for y in x for t in walk(y)]
+            return " ".join(map(walk, x)).strip()
         if isinstance(x, dict):
-            return [t for key in ("text", "content", "children") if x.get(key) for t in walk(x[key])]
-        return []
+            own = x.get("text")
+            return " ".join(filter(None, (own if isinstance(own, str) else "", walk(x.get("content")), walk(x.get("children"))))).strip()
+        return ""
 
     try:
-        return " ".join(t for t in walk(json.loads(content)) if t).strip() if content else ""
-    except ValueError:
+        return walk(json.loads(content)) if content else ""
+    except (ValueError, RecursionError):
         return ""
 
 
