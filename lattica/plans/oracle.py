@@ -116,6 +116,21 @@ CARDS = """cards AS (SELECT conv_id, turn, q, a FROM (SELECT conv_id, turn, role
 _FILE = "coalesce(nullif(substr(regexp_replace(regexp_replace(trim(title, ' \t\n\r'), '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80), ''), 'note')"
 
 
+_TRIM = "trim({}, ' \t\n\r')"
+_KIDS = f"{_TRIM.format('substr(content_text, 1, 50)')} || ' ' || {_TRIM.format('substr(content_text, 60, 50)')}"
+_FLAT = _TRIM.format(_TRIM.format("array_to_string(list_filter([title, " + _TRIM.format(_KIDS) + "], lambda x: x <> ''), ' ')") + " || ' end'")
+
+
+def _escaped(text: str) -> str:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = f"replace({text}, '{sign}', '{name}')"
+    return text
+
+
+def _page(title: str, body: str) -> str:
+    return f"""'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title></head><body>' || chr(10) || '<h1>{title}</h1>' || {body} || '</body></html>'"""
+
+
 def statements() -> dict[str, str]:
     from lattica.plans.registry import EXPANDED, LONG_QUERY, QUERY
 
@@ -190,6 +205,18 @@ def statements() -> dict[str, str]:
         "q_update": f"WITH {NOTES} SELECT note_id, CASE WHEN note_id % 6 = 0 THEN 'new ' || title ELSE title END AS title, length(content_text)::BIGINT AS n_chars FROM notes",
         "q_upsert": f"WITH {NOTES}, c AS (SELECT note_id * 2 AS note_id, 'changed' AS title FROM notes WHERE note_id % 3 = 0) SELECT note_id, title FROM notes WHERE note_id NOT IN (SELECT note_id FROM c) UNION ALL SELECT * FROM c",
         "q_starred": f"WITH {NOTES} SELECT note_id, title FROM notes WHERE note_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
+        "q_export_dispatch": f"""WITH {NOTES} SELECT note_id, 'markdown' AS kind, md5('# ' || {title} || chr(10) || chr(10) || 'Tags: ' || array_to_string(tags, ', ') || chr(10) || chr(10) || content_text) AS body_md5 FROM notes
+            UNION ALL SELECT note_id, 'text', md5(content_text) FROM notes""",
+        "q_export_html": f"""WITH {NOTES} SELECT note_id, {_page("Summary", "'<div class=" + '"box">' + "' || " + _escaped("substr(content_text, 1, 300)") + " || '</div>'")} AS summary,
+            {_page("Flashcards", "'<div class=" + '"card"><div class="q">' + "' || " + _escaped("title") + " || '</div><div class=" + '"a">' + "' || " + _escaped("substr(content_text, 1, 200)") + " || '</div></div>'")} AS cards FROM notes""",
+        "q_public_users": "SELECT c_custkey AS user_id, c_name AS name, c_mktsegment AS username, lower(c_name) || '@x.io' AS email FROM customer",
+        "q_tag_append": f"WITH {NOTES} SELECT note_id, array_to_string(CASE WHEN list_contains(tags, 'fr') THEN tags ELSE list_append(tags, 'fr') END, '|') AS tags FROM notes",
+        "q_content_kinds": f"""WITH {NOTES} SELECT note_id, CASE note_id % 5 WHEN 0 THEN to_json(struct_pack(text := title))::VARCHAR WHEN 1 THEN '{{"ops":[]}}' WHEN 2 THEN '[]' ELSE '{{}}' END AS content FROM notes""",
+        "q_flattened": f"WITH {NOTES} SELECT note_id, {_FLAT} AS text FROM notes",
+        "q_patched_text": f"WITH {NOTES} SELECT note_id, CASE note_id % 3 WHEN 0 THEN 'given' WHEN 1 THEN {_FLAT} ELSE 'old' END AS text FROM notes",
+        "q_requests": f"WITH {NOTES} SELECT title, md5(content_text) AS text_md5, tags[1] AS category, array_to_string(tags, '|') AS tags FROM notes",
+        "q_files_read": f"WITH {NOTES} SELECT 'note_' || note_id || '.txt' AS filename, md5(trim(content_text, ' \t\n\r')) AS text_md5 FROM notes",
+        "q_search_literal": f"""WITH {SEARCHABLE} SELECT {_results("*** ")} FROM s WHERE contains(lower(title), '*** ') OR contains(lower(content_text), '*** ') ORDER BY note_id LIMIT 20""",
         "q_export_files": f"""WITH {NOTES}, f AS (SELECT note_id, {_FILE} AS name, '# ' || {title} || chr(10) || chr(10) || 'Tags: ' || array_to_string(tags, ', ') || chr(10) || chr(10) || content_text AS body FROM notes)
             SELECT name || CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN '.' || note_id ELSE '' END || '.md' AS file_name, md5(body) AS body_md5 FROM f""",
         "q_llm_calls": f"""WITH {NOTES}, p AS (SELECT note_id, length('{fixed.PROMPTS["concepts"]}' || chr(10) || chr(10) || 'Notes:' || chr(10) || content_text) AS n FROM notes WHERE trim(content_text) <> ''),

@@ -125,6 +125,54 @@ def _filed(spark, d):
     return note_files.read_back(spark, path).select("file_name", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
+def _dispatched(spark, d):
+    n = src.notes(spark, d)
+    kinds = ("MarkDown", "TEXT")
+    rows = [export.exported(n, k).select("note_id", F.lit(k.lower()).alias("kind"), F.md5(F.col("body").cast("binary")).alias("body_md5")) for k in kinds]
+    return rows[0].unionByName(rows[1])
+
+
+def _pages(spark, d):
+    n = src.notes(spark, d)
+    cards = F.to_json(F.array(F.struct(F.col("title").alias("q"), F.substring("content_text", 1, 200).alias("a"))))
+    return n.select("note_id", export.html(F.substring("content_text", 1, 300), "summarize").alias("summary"), export.html(cards, "flashcards").alias("cards"))
+
+
+def _contents():
+    """JSON of every kind, by note."""
+    turn = F.col("note_id") % 5
+    text = F.regexp_replace(F.to_json(F.array("title")), r"^\[|\]$", "")
+    return F.when(turn == 0, text).when(turn == 1, '{"ops":[]}').when(turn == 2, "[]").when(turn == 3, "null").otherwise("7")
+
+
+def _blocks():
+    """A list of blocks, one within the other."""
+    part = lambda at: F.substring("content_text", at, 50).alias("text")
+    first = F.struct(F.col("title").alias("text"), F.array(F.struct(part(1)), F.struct(part(60))).alias("children"))
+    return F.concat(F.lit("["), F.to_json(first), F.lit(',{"content":"end"}]'))
+
+
+def _patched(spark, d):
+    turn = F.col("note_id") % 3
+    given, content = F.when(turn == 0, "given"), F.when(turn == 2, '{"ops":[]}').otherwise(_blocks())
+    return src.notes(spark, d).select("note_id", src.patched_text(given, content, F.lit("old")).alias("text"))
+
+
+def _requested(spark, d):
+    """Notes sent as JSON request bodies and read again."""
+    path = fresh_path(spark, "requests")
+    src.notes(spark, d).select("title", F.col("content_text").alias("contentText"), "category", "tags").write.json(path)
+    return src.read_requests(spark, path).select("title", F.md5(F.col("contentText").cast("binary")).alias("text_md5"), "category", F.array_join("tags", "|").alias("tags"))
+
+
+def _files_read(spark, d):
+    """Texts stored as files and read as uploads are."""
+    path = fresh_path(spark, "text-files")
+    named = src.notes(spark, d).select("note_id", F.concat(F.lit("note_"), "note_id").alias("file_name"), F.concat(F.lit(" \n"), "content_text", F.lit("\t")).alias("body"))
+    note_files.write_files(named, path, "txt")
+    return src.read_files(spark, path).select("filename", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def _searchable(spark, d):
     n = src.notes(spark, d)
     return search.with_keywords(n, keywords.keywords(n))
@@ -251,6 +299,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_upsert": _upserted,
         "q_starred": lambda s, d: store.starred(src.notes(s, d), src.stars(s, d)).select("note_id", "title"),
         "q_export_markdown": lambda s, d: export.markdown(src.notes(s, d)),
+        "q_export_dispatch": _dispatched,
+        "q_export_html": _pages,
+        "q_public_users": lambda s, d: store.public(src.users(s, d).withColumn("password", F.sha2("name", 256))),
+        "q_tag_append": lambda s, d: store.with_tag(src.notes(s, d), " #FR").select("note_id", F.array_join("tags", "|").alias("tags")),
+        "q_content_kinds": lambda s, d: src.notes(s, d).select("note_id", src.normalised_content(_contents()).alias("content")),
+        "q_flattened": lambda s, d: src.notes(s, d).select("note_id", src.flattened(_blocks()).alias("text")),
+        "q_patched_text": _patched,
+        "q_requests": _requested,
+        "q_files_read": _files_read,
+        "q_search_literal": lambda s, d: search.results(search.matching(_searchable(s, d), "*** "), "*** "),
         "q_export_files": _filed,
         "q_llm_calls": _called,
         "q_export_text": lambda s, d: export.plain(src.notes(s, d)),
