@@ -186,6 +186,7 @@ def statements() -> dict[str, str]:
         "q_search_long": searched(LONG_QUERY.split()),
         "q_search_regex": f"WITH {SEARCHABLE}, x AS (SELECT * FROM s WHERE {regex('th.on')} ORDER BY note_id LIMIT 20) SELECT {_results('thion')} FROM x",
         "q_search_tagfilter": f"WITH {SEARCHABLE}, x AS (SELECT * FROM s WHERE {regex('er')} ORDER BY note_id LIMIT 20) SELECT note_id, title FROM x WHERE list_has_any(tags, ['de', 'src3'])",
+        "q_search_patterns": f"WITH {SEARCHABLE} " + " UNION ALL ".join(f"SELECT {i} AS pattern, note_id, title FROM (SELECT * FROM s WHERE {regex(p)} ORDER BY note_id LIMIT 20)" for i, p in enumerate(["th.on", "[*][*][*] ", "[aeiou]nd (the|der)+ in", "nding", "(ouer|erst)x?"])),
         "q_search_indexed": f"SELECT query_id, note_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id)::INT AS place FROM (SELECT 0::BIGINT AS query_id, * FROM ({searched(terms)}) UNION ALL SELECT 1::BIGINT, * FROM ({searched(LONG_QUERY.split())}))",
         "q_search_batch": f"""WITH {NOTES}, f AS (SELECT note_id, unnest([0, 1, 2]) AS field, unnest([{", ".join(lists)}]) AS ws FROM notes),
             q AS (SELECT item_id AS query_id, unnest({_SPLIT.format("substr(text, 1, 80)")}) AS term FROM benchmark),

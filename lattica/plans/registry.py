@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import text as T
-from lattica.operators import assist, export, graph, keywords, links, postings, provider, search, store, versions, views
+from lattica.operators import assist, export, graph, keywords, links, postings, provider, search, store, trigrams, versions, views
 from lattica.plans import oracle
 from lattica.session import table
 from lattica.streaming import history, linking
@@ -20,6 +21,8 @@ from lattica.sources import notes as src
 QUERY = "the and thion ouer"
 LONG_QUERY = "thion ouer erha ndth thing heou onthe sting ingth tion erst thion ention"
 EXPANDED = ["thion", "der", "des", "que", "tion"]
+#: Patterns, and whether they are meant literally.
+PATTERNS = [("th.on", False), ("*** ", True), ("[aeiou]nd (the|der)+ in", False), ("nding", True), ("(ouer|erst)x?", False)]
 GONE = "note_id % 7 = 0"
 
 
@@ -173,6 +176,14 @@ def _files_read(spark, d):
     return src.read_files(spark, path).select("filename", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def _patterns(spark, d):
+    """Several patterns over one index; the last requires no trigram."""
+    n, path = stored(_searchable(spark, d), "searchable"), fresh_path(spark, "trigrams")
+    trigrams.write(n, path)
+    found = [trigrams.matching(spark, path, n, p, literal).select(F.lit(i).alias("pattern"), "note_id", "title") for i, (p, literal) in enumerate(PATTERNS)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def _searchable(spark, d):
     n = src.notes(spark, d)
     return search.with_keywords(n, keywords.keywords(n))
@@ -289,6 +300,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_search_batch": _searched_items,
         "q_links_changed": _relinked,
         "q_versions_stream": lambda s, d: history.replayed(src.saves(s, d)).drop("age"),
+        "q_search_patterns": _patterns,
         "q_snippet": lambda s, d: src.notes(s, d).select("note_id", T.snippet(F.col("content_text"), "Tion").alias("snippet")),
         "q_versions": lambda s, d: versions.versions(src.saves(s, d)).drop("age"),
         "q_version_list": lambda s, d: versions.listing(versions.versions(src.saves(s, d))),
