@@ -19,6 +19,12 @@ CHANGED = """notes AS (
     TIMESTAMP '2024-01-01' + to_minutes(doc_id * 7919 % 100003) + CASE WHEN doc_id % 10 = 4 THEN INTERVAL 100 DAY ELSE INTERVAL 0 DAY END AS updated_at
   FROM documents WHERE doc_id % 10 <> 5)"""
 
+#: Notes that a notebook links after ``q_notebook``'s changes: new ones have no keywords yet, and only owners' patches count.
+NOTEBOOK = """notes AS (
+  SELECT doc_id AS note_id, source AS user_id, substr(text, 1, 40) AS title, CASE WHEN doc_id % 20 = 4 THEN substr(text, 200, 400) ELSE text END AS content_text,
+    TIMESTAMP '2024-01-01' + to_minutes(doc_id * 7919 % 100003) + CASE WHEN doc_id % 20 = 4 THEN INTERVAL 100 DAY ELSE INTERVAL 0 DAY END AS updated_at
+  FROM documents WHERE doc_id % 10 NOT IN (3, 5))"""
+
 _SPLIT = "string_split(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' ')"
 _RANK = "row_number() OVER (PARTITION BY {} ORDER BY {} DESC, CASE WHEN iv IS NULL THEN 1 ELSE 0 END, coalesce(iv, 0), {})"
 _INT = "CASE WHEN regexp_full_match(word, '0|[1-9][0-9]{0,8}') THEN word::BIGINT END AS iv"
@@ -195,6 +201,9 @@ def statements() -> dict[str, str]:
             hits AS (SELECT query_id, note_id, field, n * count(*) / any_value(words)::DOUBLE AS part FROM tf JOIN asked USING (term) GROUP BY query_id, note_id, field, term, n),
             scored AS (SELECT query_id, note_id, round(sum(part), 6) AS score FROM hits GROUP BY query_id, note_id)
             SELECT query_id, note_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id)::INT AS place FROM scored WHERE score > 0 QUALIFY place <= 20""",
+        "q_notebook": f"""WITH {NOTEBOOK} SELECT note_id, title, md5(content_text) AS text_md5, updated_at FROM notes
+            UNION ALL SELECT doc_id, CASE WHEN doc_id % 20 = 3 OR text = '' THEN 'Untitled Note' ELSE substr(text, 1, 40) END, md5(text), TIMESTAMP '2024-01-01' + to_minutes(doc_id * 7919 % 100003) FROM documents WHERE doc_id % 10 = 3""",
+        "q_notebook_links": f"WITH {LINKS.replace(NOTES, NOTEBOOK)} SELECT * FROM final",
         "q_links_changed": f"WITH {LINKS.replace(NOTES, CHANGED)} SELECT * FROM final",
         "q_versions_stream": f"WITH {VERSIONS} SELECT note_id, version_number, saved_at, content_text FROM versions",
         "q_snippet": f"WITH {NOTES} SELECT note_id, {_snippet('Tion')} AS snippet FROM notes",

@@ -12,7 +12,7 @@ from lattica.functions import text as T
 from lattica.operators import assist, export, graph, keywords, links, postings, provider, search, store, trigrams, versions, views
 from lattica.plans import oracle
 from lattica.session import table
-from lattica.streaming import history, linking
+from lattica.streaming import history, linking, notebook
 from lattica.tables import fresh_path, stored
 from lattica.sources import note_files
 from lattica.sources import notes as src
@@ -21,6 +21,8 @@ from lattica.sources import notes as src
 QUERY = "the and thion ouer"
 LONG_QUERY = "thion ouer erha ndth thing heou onthe sting ingth tion erst thion ention"
 EXPANDED = ["thion", "der", "des", "que", "tion"]
+#: Buckets of the stored tables that queries make: as many as their small changes need; a large store takes more.
+SOME_BUCKETS = 16
 #: Patterns, and whether they are meant literally.
 PATTERNS = [("th.on", False), ("*** ", True), ("[aeiou]nd (the|der)+ in", False), ("nding", True), ("(ouer|erst)x?", False)]
 GONE = "note_id % 7 = 0"
@@ -86,8 +88,8 @@ def _all_bulk(spark, d):
 def _relinked(spark, d):
     """Links of notes that are built without some, then told of new, changed and deleted ones."""
     n, path, turn = src.notes(spark, d), fresh_path(spark, "links"), F.col("note_id") % 10
-    linking.build(n.filter(turn != 3), path)
-    linking.apply(_changed(n).filter(turn.isin(3, 4)), n.filter(turn == 5).select("note_id"), path)
+    linking.build(n.filter(turn != 3), path, SOME_BUCKETS)
+    linking.apply(_changed(n).filter(turn.isin(3, 4)), n.filter(turn == 5).select("note_id"), path, SOME_BUCKETS)
     return linking.final_links(spark, path)
 
 
@@ -100,6 +102,26 @@ def _changed(n):
     })
 
 
+def _written(spark, d):
+    """A stored notebook after notes were created, patched by owners and others, and deleted."""
+    n, path, turn = src.notes(spark, d).select("note_id", "user_id", "title", "content_text", "updated_at"), fresh_path(spark, "notebook"), F.col("note_id") % 10
+    later = (F.col("updated_at") + F.expr("INTERVAL 100 DAYS")).alias("updated_at")
+    notebook.build(n.filter(turn != 3), path, SOME_BUCKETS)
+    notebook.create(n.filter(turn == 3).withColumn("title", F.when(F.col("note_id") % 20 == 3, "").otherwise(F.col("title"))), path, SOME_BUCKETS)
+    owner = F.when(F.col("note_id") % 20 == 14, "somebody else").otherwise(F.col("user_id")).alias("user_id")
+    notebook.patch(n.filter(turn == 4).select("note_id", owner, later, F.substring("content_text", 200, 400).alias("content_text")), path, SOME_BUCKETS)
+    notebook.delete(n.filter(turn == 5).select("note_id", "user_id"), path, SOME_BUCKETS)
+    return path
+
+
+def _written_notes(spark, d):
+    return notebook.notes(spark, _written(spark, d)).select("note_id", "title", F.md5(F.col("content_text").cast("binary")).alias("text_md5"), "updated_at")
+
+
+def _written_links(spark, d):
+    return notebook.final_links(spark, _written(spark, d))
+
+
 def _indexed(spark, d, queries):
     path = fresh_path(spark, "postings")
     postings.write(src.notes(spark, d), path)
@@ -298,6 +320,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_search_tagfilter": lambda s, d: search.only_tagged(search.matching(_searchable(s, d), "er"), "de,src3").select("note_id", "title"),
         "q_search_indexed": _both_searches,
         "q_search_batch": _searched_items,
+        "q_notebook": _written_notes,
+        "q_notebook_links": _written_links,
         "q_links_changed": _relinked,
         "q_versions_stream": lambda s, d: history.replayed(src.saves(s, d)).drop("age"),
         "q_search_patterns": _patterns,

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import fixed
 from lattica.operators import keywords, links
-from lattica.tables import stored
+from lattica.tables import replace_buckets, stored
 
 CARD = "user_id string, note_id long, listed array<string>, rarest array<string>, split array<int>, updated_at timestamp"
 LINK = "user_id string, source long, target long, strength double, shared string, at_source timestamp, at_target timestamp, place int"
@@ -53,16 +53,10 @@ def _write(rows: DataFrame, path: str, table: str, buckets: int) -> None:
     named.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/{table}")
 
 
-def _replace(spark: SparkSession, path: str, table: str, touched: list[int], left: DataFrame, new: DataFrame, buckets: int) -> None:
-    """The buckets ``touched`` become ``left`` and ``new``. Buckets that end empty are emptied, the rest is not opened."""
-    rows = left.drop("bucket").unionByName(new.select(*left.drop("bucket").columns)).withColumn("bucket", _bucket(table, buckets))
-    ready = stored(rows, table)  # what is read is not what is overwritten
-    full = {r["bucket"] for r in ready.select("bucket").distinct().collect()}
-    ready.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{table}")
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    for b in set(touched) - full:
-        gone = jvm.org.apache.hadoop.fs.Path(f"{path}/{table}/bucket={b}")
-        gone.getFileSystem(conf).delete(gone, True)
+def _replace(path: str, table: str, touched: list[int], left: DataFrame, new: DataFrame, buckets: int) -> None:
+    """The buckets ``touched`` become ``left`` and ``new``."""
+    rows = left.drop("bucket").unionByName(new.select(*left.drop("bucket").columns))
+    replace_buckets(rows.withColumn("bucket", _bucket(table, buckets)), f"{path}/{table}", touched)
 
 
 def _cards(notes: DataFrame) -> DataFrame:
@@ -99,7 +93,7 @@ def apply(saved: DataFrame, gone: DataFrame | None, path: str, buckets: int = BU
 
     # The index: keywords that changed notes had and have.
     index_buckets = sorted({*_buckets_of(_by_keyword(old), "index", buckets), *_buckets_of(_by_keyword(fresh), "index", buckets)})
-    _replace(spark, path, "index", index_buckets, _read(spark, path, "index", index_buckets).join(changed, "note_id", "left_anti"), _by_keyword(fresh), buckets)
+    _replace(path, "index", index_buckets, _read(spark, path, "index", index_buckets).join(changed, "note_id", "left_anti"), _by_keyword(fresh), buckets)
 
     # Who linked to changed notes, and of these who has no free place and looks again.
     here = lambda end: changed.select(F.col("note_id").alias(end))
@@ -129,10 +123,10 @@ def apply(saved: DataFrame, gone: DataFrame | None, path: str, buckets: int = BU
     before = _read(spark, path, "own", own_buckets)
     lost = stored(before.join(sources, "source", "left_semi"), "lost")
     held_buckets = sorted({*_buckets_of(lost, "held", buckets), *_buckets_of(new, "held", buckets), *_buckets_of(here("target"), "held", buckets)})
-    _replace(spark, path, "own", own_buckets, before.join(sources, "source", "left_anti"), new, buckets)
+    _replace(path, "own", own_buckets, before.join(sources, "source", "left_anti"), new, buckets)
     # A batch that is applied again may find own links renewed and these not: whatever a changed source held goes.
-    _replace(spark, path, "held", held_buckets, _read(spark, path, "held", held_buckets).join(sources, "source", "left_anti"), new, buckets)
-    _replace(spark, path, "cards", card_buckets, _read(spark, path, "cards", card_buckets).join(changed, "note_id", "left_anti"), fresh, buckets)
+    _replace(path, "held", held_buckets, _read(spark, path, "held", held_buckets).join(sources, "source", "left_anti"), new, buckets)
+    _replace(path, "cards", card_buckets, _read(spark, path, "cards", card_buckets).join(changed, "note_id", "left_anti"), fresh, buckets)
 
 
 def own_links(spark: SparkSession, path: str) -> DataFrame:

@@ -27,3 +27,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def replace_buckets(rows: DataFrame, path: str, touched: list[int]) -> None:
+    """The buckets ``touched`` of a table partitioned by ``bucket`` become ``rows``; other buckets' files stay as they are.
+
+    ``rows`` may be made from what the table holds: they are written aside first. Buckets that get no rows are emptied.
+    Doing the same again has the same outcome, so a job that failed half way is simply run again.
+    """
+    spark = rows.sparkSession
+    ready = stored(rows, "buckets")
+    full = {r["bucket"] for r in ready.select("bucket").distinct().collect()}
+    ready.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for b in set(touched) - full:
+        gone = jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}")
+        gone.getFileSystem(conf).delete(gone, True)

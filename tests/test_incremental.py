@@ -116,10 +116,10 @@ def test_a_failed_batch_is_applied_again(spark, tmp_path, monkeypatch):
         here = f"{path}-{fails_at}"
         linking.build(notes, here, 8)
 
-        def broken(spark, path, table, *rest, at=fails_at):
+        def broken(path, table, *rest, at=fails_at):
             if table == at:
                 raise OSError("lost")
-            real(spark, path, table, *rest)
+            real(path, table, *rest)
 
         monkeypatch.setattr(linking, "_replace", broken)
         with pytest.raises(OSError):
