@@ -160,13 +160,13 @@ def neighbours(words: DataFrame) -> DataFrame:
     met = meeting(key_rows(words)).join(words, "wid")
     place = F.col("place").cast("int")
     left = F.concat(F.substring("word", F.lit(1), place), F.when(F.col("kind") == REPLACED, F.lit("\0")).otherwise(F.lit("")), F.substring("word", place + 2, F.length("word")))
-    met = met.select(
+    met = written(met.select(
         "word",
         "n",
         "kind",
         F.when(F.col("kind") == REPLACED, place).otherwise(F.lit(-1)).alias("at"),
         F.when(F.col("kind") == WHOLE, F.col("word")).otherwise(left).alias("left"),
-    )
+    ), "met")  # read by three parts of the plan
     others = met.filter(F.col("kind") != WHOLE)
     order = Window.partitionBy("at", "left").orderBy(F.col("n").desc(), "word")
     group = Window.partitionBy("at", "left")
