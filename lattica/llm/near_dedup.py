@@ -8,8 +8,9 @@ with the longest common prefix, so the depth at which classes meet adapts to eac
 partitioning, which cuts a hot region into many tasks; what lies around a cut is compared afterwards.
 
 What these neighbours leave is compared too: where more classes agree on the leading hashes than neighbours can cover, and
-they are not one component yet, all pairs of two components are held against each other by whole signature. Such a bucket is
-cut into chunks, and each two chunks meet in a task of their own.
+they are not one component yet, all pairs of two components are held against each other by whole signature, and confirmed
+on full sets where they stand; a task gives the links that join its components, not the pairs. Such a bucket is cut into
+chunks, and each two chunks meet in a task of their own.
 
 Candidates whose signatures agree too little are dropped at a level that a true pair misses about once in 100,000 times.
 The others are confirmed on full sets, in rounds that leave out what earlier rounds have already joined.
@@ -35,8 +36,10 @@ DEPTH = 5
 REACH = 2
 #: Hashes of a sorted order's key, two bytes each.
 KEY_HASHES = 10
-#: Classes of a crowded bucket that stand in one chunk; a task holds two chunks.
-CHUNK = 2048
+#: Classes of a crowded bucket, and bytes of their sets, that stand in one chunk; a task holds two chunks.
+CHUNK, CHUNK_BYTES = 2048, 32 << 20
+#: Partners of each class, by equal hashes, that are confirmed before all others of a crowded bucket.
+FIRST = 8
 #: Pairs whose signatures are compared at a time.
 AT_A_TIME = 1 << 15
 #: Ids of documents to be confirmed are broadcast up to so many (8 bytes each); beyond, texts are joined by shuffle.
@@ -157,43 +160,66 @@ def candidates(classes: DataFrame, parts: int, depth: int = DEPTH) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long, agree int")
 
 
-def _cell_pairs(ids, component, n, sigs, side, tree: int, percent: int, depth: int):
-    """Pairs (a, b, agree) of one cell: of two components, near in size, agreeing enough, and in no earlier tree's bucket together."""
-    rows = max(1, AT_A_TIME // len(ids))
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _cell_links(ids, component, n, sigs, sets, side, tree: int, percent: int, depth: int):
+    """Links (a, b) of one cell, confirmed on full sets, that join its components.
+
+    Pairs are of two components, near in size, agree enough, and are in no earlier tree's bucket together. Each class is
+    first held against the few that agree with it most, then against all others that aren't joined with it by then.
+    """
+    component, rows = component.copy(), max(1, AT_A_TIME // len(ids))
     across = side.min() != side.max()
-    for at in range(0, len(ids), rows):
-        i = slice(at, at + rows)
-        fit = component[i, None] != component[None, :]
-        fit &= 100 * np.minimum(n[i, None], n[None, :]) >= percent * np.maximum(n[i, None], n[None, :])
-        fit &= side[i, None] < side[None, :] if across else np.arange(at, min(at + rows, len(ids)))[:, None] < np.arange(len(ids))[None, :]
-        x, y = np.nonzero(fit)
-        if not len(x):
-            continue
-        x += at
-        same = sigs[x] == sigs[y]
-        agree = np.count_nonzero(same, axis=1) * 100 // same.shape[1]
-        good = agree >= percent - 17
-        x, y, agree, led = x[good], y[good], agree[good], same[good].reshape(-1, TREES, DEPTH)[:, : tree + 1, :depth].all(axis=2)
-        here = led[:, tree] & ~led[:, :tree].any(axis=1)
-        x, y = ids[x[here]], ids[y[here]]
-        yield np.minimum(x, y), np.maximum(x, y), agree[here].astype(np.int32)
-
-
-def crowded(classes: DataFrame, percent: int, depth: int) -> DataFrame:
-    """All pairs (a < b, agree) of classes (id, sig, n, component) of two components that meet in a bucket too large for neighbours.
-
-    A bucket holds the classes that agree on the first ``depth`` hashes of a tree. Each pair comes once, from its first tree.
+    for most in (FIRST, len(ids)):
+        for at in range(0, len(ids), rows):
+            i = slice(at, at + rows)
+            fit = component[i, None] != component[None, :]
+            fit &= 100 * np.minimum(n[i, None], n[None, :]) >= percent * np.maximum(n[i, None], n[None, :])
+            fit &= side[i, None] < side[None, :] if across else np.arange(at, min(at + rows, len(ids)))[:, None] < np.arange(len(ids))[None, :]
+            x, y = np.nonzero(fit)
+            if not len(x):
+                continue
+            x += at
+            same = sigs[x] == sigs[y]
+            agree = np.count_nonzero(same, axis=1) * 100 // same.shape[1]
+            good = agree >= percent - 17
+            x, y, agree, led = x[good], y[good], agree[good], same[good].reshape(-1, TREES, DEPTH)[:, : tree + 1, :depth].all(axis=2)
+            here = led[:, tree] & ~led[:, :tree].any(axis=1)
+            x, y, agree = x[here], y[here], agree[here]
+            order = np.lexsort((y, -agree, x))
+            x, y = x[order], y[order]
+            place = np.arange(len(x)) - np.searchsorted(x, x)
+            for p, q in zip(x[place < most].tolist(), y[place < most].tolist(), strict=True):
+                if component[p] != component[q] and alike(np.frombuffer(sets[p], np.uint64), np.frombuffer(sets[q], np.uint64), percent):
+                    component[component == component[q]] = component[p]
+                    yield min(ids[p], ids[q]), max(ids[p], ids[q])
+
+
+def crowded(docs: DataFrame, classes: DataFrame, percent: int, depth: int) -> DataFrame:
+    """Links (a, b) that join classes (id, sig, n, component) of two components in buckets too large for neighbours.
+
+    A bucket holds the classes that agree on the first ``depth`` hashes of a tree. All its pairs meet, in chunks that meet
+    two by two, with their full sets; what comes out are confirmed links, fewer than a cell has classes.
     """
-    rows = classes.select("id", "component", "sig", F.expr(f"explode(sequence(0, {TREES - 1}))").alias("tree"))
+    rows = classes.select("id", "component", "n", "sig", F.expr(f"explode(sequence(0, {TREES - 1}))").alias("tree"))
     key = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.expr(f"substring(sig, 1 + tree * {2 * DEPTH}, {2 * depth})"))
-    rows = rows.select(key.alias("key"), "id", "component")
-    size = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
-    size = written(size.filter((F.col("members") > REACH + 1) & (F.col("low") < F.col("high"))).select("key", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks")), "crowded")
-    dealt = rows.select("key", "id").join(size, "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    rows = rows.select(key.alias("key"), "id", "component", "n")
+    size = rows.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.col("n") * 8).alias("bytes"), F.min("component").alias("low"), F.max("component").alias("high"))
+    chunks = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int")
+    size = written(size.filter((F.col("members") > REACH + 1) & (F.col("low") < F.col("high"))).select("key", chunks.alias("chunks")), "crowded")
+    dealt = rows.select("key", "id").join(size, "key")
+    sets = written(set_table(docs, dealt.select("id").distinct()), "sets")
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.expr("explode(sequence(0, chunks - 1))"))
     dealt = dealt.select("key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "id")
-    dealt = dealt.join(classes.select("id", "component", "n", "sig"), "id")
-    cells = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").select("key", "x", "y", "side", "id", "component", "n", "sig")
+    dealt = dealt.join(classes.select("id", "component", "n", "sig").join(sets, "id"), "id")
+    cells = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").select("key", "x", "y", "side", "id", "component", "n", "sig", "hashes")
 
     def compare(batches):
         last, held = None, []
@@ -206,9 +232,9 @@ def crowded(classes: DataFrame, percent: int, depth: int) -> DataFrame:
             sigs = np.frombuffer(b"".join(whole.column("sig").to_pylist()), np.uint16).reshape(whole.num_rows, -1)
             if last[1] != last[2] and side.min() == side.max():
                 return
-            for a, b, agree in _cell_pairs(ids, component, n, sigs, side, last[0][0], percent, depth):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(agree)], names=["a", "b", "agree"])
+            found = list(_cell_links(ids, component, n, sigs, whole.column("hashes").to_pylist(), side, last[0][0], percent, depth))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             cell = list(zip(*(batch.column(c).to_pylist() for c in ("key", "x", "y")), strict=True))
@@ -223,7 +249,7 @@ def crowded(classes: DataFrame, percent: int, depth: int) -> DataFrame:
         if held:
             yield from pairs()
 
-    return cells.mapInArrow(compare, "a long, b long, agree int")
+    return cells.mapInArrow(compare, "a long, b long").distinct()
 
 
 def set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -249,12 +275,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             linked = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                both = 0
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                    both = int((x[at] == y).sum())
-                linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+                linked.append(alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     return rows.mapInArrow(compare, "a long, b long, linked boolean")
@@ -308,10 +329,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     links, label, tables = joined(docs, pairs, None, None, percent)
     component = classes.select("id", "sig", "n") if label is None else classes.select("id", "sig", "n").join(label, "id", "left")
     component = component.withColumn("component", F.col("id") if label is None else F.coalesce("component", "id"))
-    more = crowded(written(component.dropDuplicates(["id"]), "classes"), percent, least_depth(percent))
-    more = written(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    links, label, spent = joined(docs, more, links, label, percent)
-    tables += [pairs, more, *spent]
+    more = written(crowded(docs, written(component.dropDuplicates(["id"]), "classes"), percent, least_depth(percent)), "links")
+    if not more.isEmpty():
+        links = more if links is None else links.unionByName(more)
+        label = written(components(links), "components")
+    tables += [pairs, more]
     member = classes.select("digest", "id")
     if label is not None:
         member = member.join(label, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))

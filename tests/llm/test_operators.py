@@ -140,26 +140,43 @@ def test_near_duplicates(docs, percent):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id, r.kept) for r in got) == want
 
 
-def test_all_pairs_of_a_crowd_meet(spark, monkeypatch):
-    """Signatures of many siblings below the threshold, each with a partner; components of ten ids need no comparing within."""
-    monkeypatch.setattr(near_dedup, "CHUNK", 40)
-    rng = np.random.default_rng(5)
-    base = rng.integers(0, 1 << 16, 100, np.uint16)
-    sigs = np.where(rng.random((200, 100)) < 0.15, rng.integers(0, 1 << 16, (200, 100), np.uint16), base)
-    sigs[100:] = np.where(rng.random((100, 100)) < 0.1, rng.integers(0, 1 << 16, (100, 100), np.uint16), sigs[:100])
-    group = [i if i >= 20 else i // 10 for i in range(200)]
-    want = {}
-    for i in range(200):
-        for j in range(i + 1, 200):
-            same = sigs[i] == sigs[j]
-            if same.sum() >= 68 and same.reshape(20, 5).all(axis=1).any() and group[i] != group[j]:
-                want[i, j] = int(same.sum())
-    rows = spark.createDataFrame([(i, bytearray(sigs[i].tobytes()), 100, group[i]) for i in range(200)], "id long, sig binary, n long, component long")
-    near = {(r.a, r.b) for r in near_dedup.candidates(rows.select("id", "sig"), 3).collect()}
-    more = near_dedup.crowded(rows, 85, 5).collect()
-    got = {(r.a, r.b): r.agree for r in more}
-    assert len(got) == len(more) and got.items() <= want.items()
-    assert set(want) - near and set(want) <= near | set(got)
+@pytest.mark.parametrize(("chunk", "size"), [(40, 1 << 25), (2048, 40_000)])
+def test_a_crowd_is_joined_by_confirmed_links(spark, monkeypatch, chunk, size):
+    """A family around one text: some are linked with it alone, some only with a partner, the others with nothing. Chunks by number and by bytes."""
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(near_dedup, "CHUNK_BYTES", size)
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+
+    def changed(words_, k):
+        w = list(words_)
+        for i in rng.sample(range(len(w)), k):
+            w[i] = f"x{rng.randrange(10**6)}"
+        return w
+
+    texts = [base, *(changed(base, 3) for _ in range(90)), *(changed(base, 5) for _ in range(60))]
+    texts += [changed(t, 2) for t in texts[-20:]]
+    sets = [shingle_set(" ".join(t)) for t in texts]
+    group = list(range(len(texts)))
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+                x, y = sorted((root(i), root(j)))
+                group[y] = x
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 85).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}
+    assert 40 < len(set(got.values())) < 100
+    sigs = near_dedup.signed(docs).select(F.col("doc_id").alias("id"), "sig", F.col("n_shingles").alias("n"), F.col("doc_id").alias("component"))
+    links = near_dedup.crowded(docs, sigs.cache(), 85, near_dedup.least_depth(85)).collect()
+    assert all(100 * len(sets[r.a] & sets[r.b]) >= 85 * len(sets[r.a] | sets[r.b]) for r in links)
+    assert len(links) < 20 * len(texts)  # a cell's links are fewer than its classes, not its pairs
 
 
 def test_near_duplicates_of_nothing(none):
