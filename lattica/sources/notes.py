@@ -73,17 +73,29 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def docx_text(raw: bytes) -> str:
-    """Runs of text in order, a line a paragraph. The document is parsed as XML, so every character reference is decoded."""
-    with zipfile.ZipFile(io.BytesIO(raw)) as z, z.open("word/document.xml") as xml:
-        found = []
-        for _, node in ElementTree.iterparse(xml):
-            kind = node.tag.rpartition("}")[2]
-            if kind in ("t", "tab", "br", "cr"):
-                found.append((node.text or "") if kind == "t" else "\t" if kind == "tab" else "\n")
-            elif kind == "p":
-                found.append("\n")
-                node.clear()
-        return "".join(found)
+    """Runs of text in order, a line a paragraph. The document is parsed as XML, so every character reference is decoded.
+
+    Where names or the one root that XML asks for are missing, it is parsed without prefixes and inside a root.
+    """
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        xml = z.read("word/document.xml")
+    try:
+        return _runs(io.BytesIO(xml))
+    except ElementTree.ParseError:
+        bare = re.sub(r"<[^>]*>", lambda m: re.sub(r"(?<=[</\s])\w+:(?=\w)", "", m[0]), re.sub(r"<\?.*?\?>", "", xml.decode()))
+        return _runs(io.BytesIO(f"<body>{bare}</body>".encode()))
+
+
+def _runs(xml: io.BytesIO) -> str:
+    found = []
+    for _, node in ElementTree.iterparse(xml):
+        kind = node.tag.rpartition("}")[2]
+        if kind in ("t", "tab", "br", "cr"):
+            found.append((node.text or "") if kind == "t" else "\t" if kind == "tab" else "\n")
+        elif kind == "p":
+            found.append("\n")
+            node.clear()
+    return "".join(found)
 
 
 def read_files(spark: SparkSession, path: str, pdf: Callable[[bytes], str] | None = None, glob: str = "*.{txt,md,pdf,docx}") -> DataFrame:
