@@ -13,12 +13,13 @@ from lattica.tables import stored
 def term_counts(notes: DataFrame, *keep: str) -> DataFrame:
     """(user_id, note_id, word, tf, first_pos, and columns to keep): words of title, title again and text.
 
-    A note's words travel once, to the note's partition, where they are counted and later ranked.
+    A note's text travels once, to the note's partition; its words are cut, counted and later ranked there and never travel.
     """
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("title", F.lit("")), F.coalesce("content_text", F.lit("")))
-    runs = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{3,}"), F.lit(0))
-    w = notes.select("user_id", "note_id", *keep, F.posexplode(runs).alias("pos", "word"))
-    w = w.filter(~F.col("word").isin(fixed.KEYWORD_STOPWORDS)).repartition("note_id")
+    dealt = notes.select("user_id", "note_id", *keep, text.alias("text")).repartition("note_id")
+    runs = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,}"), F.lit(0))
+    w = dealt.select("user_id", "note_id", *keep, F.posexplode(runs).alias("pos", "word"))
+    w = w.filter(~F.col("word").isin(fixed.KEYWORD_STOPWORDS))
     return w.groupBy("user_id", "note_id", *keep, "word").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
 
 

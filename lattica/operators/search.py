@@ -54,6 +54,11 @@ def recent(notes: DataFrame, limit: int = fixed.RECENT) -> DataFrame:
     return notes.orderBy(F.col("updated_at").desc(), "note_id").limit(limit)
 
 
+def _best(scored: DataFrame, limit: int) -> DataFrame:
+    """The best rows by score, none without any. Scores are tested after the limit: a test before it would work each out twice."""
+    return scored.orderBy(F.col("score").desc(), "note_id").limit(limit).filter("score > 0")
+
+
 def semantic(notes: DataFrame, query: str, limit: int = fixed.RESULTS) -> DataFrame:
     """3 for each keyword of the query among the note's, 2 if the title contains it, 1 if the text does; 5 for the whole query in the title."""
     title, body = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("content_text", F.lit("")))
@@ -61,11 +66,11 @@ def semantic(notes: DataFrame, query: str, limit: int = fixed.RESULTS) -> DataFr
     for k in query_keywords(query):
         score = score + F.when(F.array_contains(F.transform("keywords", F.lower), k), 3).otherwise(0)
         score = score + F.when(F.contains(title, F.lit(k)), 2).otherwise(0) + F.when(F.contains(body, F.lit(k)), 1).otherwise(0)
-    return notes.withColumn("score", score).filter("score > 0").orderBy(F.col("score").desc(), "note_id").limit(limit)
+    return _best(notes.withColumn("score", score), limit)
 
 
 def _count(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == F.lit(term)))
+    return F.size(words) - F.size(F.array_remove(words, term))
 
 
 def relevant(notes: DataFrame, query: str, limit: int = fixed.RESULTS) -> DataFrame:
@@ -73,11 +78,10 @@ def relevant(notes: DataFrame, query: str, limit: int = fixed.RESULTS) -> DataFr
     fields = (F.col("title"), F.col("content_text"), F.array_join("tags", " "))
     terms, score = Counter(query_terms(query)), F.lit(0.0)
     for field in fields:
-        words = F.filter(T.words(field), lambda w: w != "")
+        words = F.array_remove(T.words(field), "")
         for t, n in terms.items():
             score = score + n * _count(words, t) / F.greatest(F.size(words), F.lit(1)).cast("double")
-    scored = notes.withColumn("score", F.round(score, 6))
-    return scored.filter("score > 0").orderBy(F.col("score").desc(), "note_id").limit(limit)
+    return _best(notes.withColumn("score", F.round(score, 6)), limit)
 
 
 def matching(notes: DataFrame, query: str, literal: bool = True, limit: int = fixed.RESULTS) -> DataFrame:
