@@ -8,7 +8,6 @@ times, each time against one block, and the findings add up.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import uuid
 
@@ -192,6 +191,3 @@ def op9(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("bench_items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("bench_spans") > 0).alias("contaminated"),
     )
-
-
-EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()

@@ -436,8 +436,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     frames.write.option("compression", "none").parquet(path)
 
 
-def read_tokens(spark, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) of every document in written frames."""
+def read_tokens(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """The documents of written frames and the frames' places: part, frame, doc_id, offset (in the frame), n_tokens, ids
+    (little-endian unsigned 32-bit), and part, frame, begin (ids in all frames before)."""
     frames = spark.read.parquet(path)
     parts = frames.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))

@@ -112,6 +112,51 @@ def test_quality_model(spark, none):
     assert quality_model.score(none, labels).count() == 0
 
 
+def test_vectors_and_pooling(spark, monkeypatch):
+    """Word vectors, pooling weights, features and scores by their definitions; very long texts, repeated rows, clashing columns."""
+    rng = random.Random(22)
+    texts = [None, "", " \n", "one", "one two", prose(rng, 12_000), *(prose(rng, rng.randrange(1, 80)) for _ in range(60))]
+    rows = [(i, t, "x", 1.0) for i, t in enumerate(texts)] + [(8, texts[8], "x", 1.0), (None, texts[9], "x", 1.0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, pooled string, score double").repartition(3)
+    row = lambda w: quality_model.Buckets()[w.encode()]
+    sums, seen = np.zeros((quality_model.VOCABULARY, quality_model.WIDTH)), Counter()
+    for _, t, *_ in rows:
+        ids = [row(w) for w in words(t)]
+        seen.update(ids)
+        for i, a in enumerate(ids):
+            for j in range(max(0, i - quality_model.REACH), min(len(ids), i + quality_model.REACH + 1)):
+                if j != i:
+                    for k in (0, 1):
+                        sums[a, quality_model._PLACES[k][ids[j]]] += quality_model._SIGNS[k][ids[j]]
+    total = sum(seen.values())
+    unit = {a: sums[a] / max(np.sqrt((sums[a] ** 2).sum()), 1e-9) for a in seen}
+    weight = {a: quality_model.COMMON / (quality_model.COMMON + n / total) for a, n in seen.items()}
+    vectors, weights = quality_model.word_vectors(table)
+    assert set(np.flatnonzero(vectors.any(axis=1))) <= set(seen) and len(seen) > 500
+    assert all(np.allclose(vectors[a], unit[a], atol=1e-5) and math.isclose(weights[a], weight[a], rel_tol=1e-5) for a in seen)
+
+    def features(t):
+        ids = [row(w) for w in words(t)]
+        if not ids:
+            return np.zeros(quality_model.FEATURES)
+        share = np.array([weight[a] for a in ids])
+        share /= share.sum()
+        v = np.array([unit[a] for a in ids])
+        mean = (share[:, None] * v).sum(axis=0)
+        return np.concatenate([mean, np.sqrt((share[:, None] * (v - mean) ** 2).sum(axis=0))])
+
+    labels = spark.createDataFrame([(i, i % 2, "y", 0.5) for i in range(len(texts))] + [(8, 1, "y", 0.5)], "doc_id long, quality int, text string, score double")
+    _, network = quality_model.fit(table.select("doc_id", "text"), labels)
+    got = quality_model.score(table, labels).collect()
+    assert len(got) == len(rows)
+    by_id = dict(enumerate(texts)) | {None: texts[9]}
+    for r in got:
+        x = features(by_id[r.doc_id])
+        hidden = np.tanh((x - network.mean) / network.scale @ network.w1 + network.b1)
+        logit = float((hidden @ network.w2 + network.b2)[0]) / network.temperature
+        assert math.isclose(r.score, 1 / (1 + math.exp(-logit)), abs_tol=1e-3)
+
+
 # ---- 3
 
 
@@ -193,6 +238,7 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60, 90)] + [(5, 3), (3, 9), (9, 5), (1, 1)], "a long, b long")
     got = {r.id: r.component for r in components.components(edges).collect()}
     assert got == {i: 60 for i in range(60, 91)} | {3: 3, 5: 3, 9: 3}
+    assert components.components(edges.limit(0)).count() == components.components(edges.filter("a = b")).count() == 0
 
 
 # ---- 4
@@ -585,14 +631,14 @@ def test_decontamination(spark, docs, none):
 # ---- 10
 
 
-def test_repeats(docs, none):
-    length = 400
+def without_repeats(rows, length=400):
+    """Rows (doc_id or -1, bytes, removed, runs, digest of what stays) by brute force."""
     seen = Counter()
-    for r in ROWS:
+    for r in rows:
         b = (r[1] or "").encode()
         seen.update(b[i : i + length] for i in range(len(b) - length + 1))
     want = []
-    for r in ROWS:
+    for r in rows:
         b = (r[1] or "").encode()
         gone = np.zeros(len(b), bool)
         for i in range(len(b) - length + 1):
@@ -601,11 +647,32 @@ def test_repeats(docs, none):
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         want.append((-1 if r[0] is None else r[0], len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+    return sorted(want)
+
+
+def removed_of(docs):
     got = substring_dedup.remove_repeats(docs).collect()
-    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
+    return sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
+
+
+def test_repeats(docs, none):
+    assert removed_of(docs) == without_repeats(ROWS)
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_repeats_of_common_anchors(docs, spark, monkeypatch):
+    """Anchors dealt to several tasks; one doc_id with several texts, which share a passage with each other and with another document."""
+    monkeypatch.setattr(substring_dedup, "HOT", 2)
+    monkeypatch.setattr(substring_dedup, "SALTS", 3)
+    rng = random.Random(77)
+    passage = prose(rng, 80)
+    more = [(900, f"{prose(rng, 40)} {passage} {prose(rng, 40)}"), (900, f"{prose(rng, 50)} {passage}"), (901, f"{passage} {prose(rng, 70)}"), (900, prose(rng, 90))]
+    added = spark.createDataFrame(more, "doc_id long, text string")
+    found = removed_of(docs.unionByName(added, allowMissingColumns=True))
+    assert found == without_repeats([*ROWS, *more])
+    assert sum(r[0] >= 900 and r[2] > 0 for r in found) == 3
+
+
 def test_anchors_in_pieces(monkeypatch):
     text = prose(random.Random(4), 3000).encode()
     whole = substring_dedup.anchors(text)
@@ -658,6 +725,38 @@ def test_pipeline(spark, sf, tokenizer_path):
         start += len(ids)
 
 
+CLASHES = ("dropped", "n_words", "base_failed", "llr", "component_id", "bench_spans", "bench_words", "mix_copies", "mix_copy", "mix_source", "given_0", "text_")
+
+
+@pytest.mark.parametrize("stage", ["quality", "near_duplicates", "decontaminate", "mix"])
+def test_stages_keep_columns(spark, docs, none, stage, tmp_path):
+    """Stages on nulls, empty and long texts, repeated rows and empty tables; columns of the operators' names keep their values."""
+    import corpus_pipeline as pipeline
+
+    own, sf, bench = list(pipeline.OWN), str(tmp_path), prose(random.Random(70), 40)
+    spark.createDataFrame([(1, bench), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([(i, 1) for i in range(6, 40)] + [(6, 0), (None, 1)], "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
+    some = docs.unionByName(spark.createDataFrame([(700, f"{bench} and more"), (701, None)], "doc_id long, text string"), allowMissingColumns=True)
+    wide = some.select(*own, *(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias(c) for c in ("mix_size", "sig", "kept", "did", *CLASHES)))
+    step = getattr(pipeline, stage)
+    key = lambda r: tuple(str(r[c]) for c in own)
+    got, plain = step(spark, wide, sf), step(spark, some.select(*own), sf)
+    assert got.columns == wide.columns and plain.columns == own
+    rows = got.collect()
+    assert sorted(map(key, rows)) == sorted(map(key, plain.collect()))
+    assert all(r[c] == ("none" if r.doc_id is None else str(r.doc_id)) for r in rows for c in wide.columns if c not in own)
+    ids = Counter(r.doc_id for r in rows)
+    if stage == "quality":
+        assert ids and not {0, 1, 2, 3, 4, 5, 22, 700, 701, None} & set(ids)  # without text, too short, or the same words again and again
+    elif stage == "near_duplicates":
+        assert ids[7] == 1 and not {8, 9} & set(ids) and ids[12] in (0, 2) and {0, 1, 2, 6, 700, 701, None} <= set(ids)
+    elif stage == "decontaminate":
+        assert ids == Counter([*(r[0] for r in ROWS), 701])
+    else:
+        assert all(n <= 2 * (2 if i == 12 else 1) for i, n in ids.items())
+    assert step(spark, none.select(*own), sf).count() == 0 and step(spark, none, sf).columns == none.columns
+
+
 @pytest.mark.parametrize("name", ["op1_mix_sources", "op4_chat_format"])
 def test_sql(spark, sf, name):
     duckdb = pytest.importorskip("duckdb")
