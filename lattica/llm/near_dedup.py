@@ -76,6 +76,11 @@ def shingles(text: str | None, hashes: WordHashes, size: int = WORDS) -> np.ndar
     return np.unique(h)
 
 
+def digest(hashed: bytes) -> bytes:
+    """Tells sets apart, and orders those of one doc_id."""
+    return hashlib.blake2b(hashed, digest_size=16).digest()
+
+
 def signature(hashed: np.ndarray) -> bytes:
     """The low 16 bits of each minimum hash."""
     h = (hashed >> np.uint64(32)).astype(np.uint32)[None, :]
@@ -94,10 +99,10 @@ def signed(docs: DataFrame) -> DataFrame:
             rows = []
             for x in batch.column(1):
                 s = shingles(x.as_py(), hashes)
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s)) if len(s) else (0, None, None))
-            n, digest, sig = zip(*rows, strict=True) if rows else ((), (), ())
+                rows.append((len(s), digest(s.tobytes()), signature(s)) if len(s) else (0, None, None))
+            n, named, sig = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(named, pa.binary()), pa.array(sig, pa.binary())],
                 names=["doc_id", "n_shingles", "digest", "sig"],
             )
 
@@ -253,7 +258,7 @@ def crowded(docs: DataFrame, classes: DataFrame, percent: int, depth: int) -> Da
 
 
 def set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, hashes) of the documents in ``ids``: whole sets, as sorted 64-bit numbers."""
+    """(id, hashes) of the documents in ``ids``: whole sets, as sorted 64-bit numbers; of several texts under one id the set of the least digest."""
     wanted = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
 
@@ -261,9 +266,9 @@ def set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             out = [shingles(x.as_py(), hashes).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(digest, out), pa.binary()), pa.array(out, pa.binary())], names=["id", "digest", "hashes"])
 
-    return texts.mapInArrow(hashed, "id long, hashes binary").dropDuplicates(["id"])
+    return texts.mapInArrow(hashed, "id long, digest binary, hashes binary").groupBy("id").agg(F.min_by("hashes", "digest").alias("hashes"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -319,17 +324,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Documents are linked if the Jaccard similarity of their sets is at least ``percent`` in a hundred. Null, empty and
     blank texts have the empty set and are linked with nothing; a null doc_id is linked with nothing either, has a null
-    component_id and is kept. Rows that repeat a doc_id are one document. An empty table gives no rows.
+    component_id and is kept. Rows that repeat a doc_id are one document; where their texts differ, each is linked with equal
+    sets, and the one of the least digest is compared with others, so reruns agree. An empty table gives no rows.
     """
     parts = parts_for(docs)
     sigs = written(signed(docs), "signatures")
     classes = sigs.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
     classes = written(classes, "classes")
-    pairs = written(candidates(classes.select("id", "sig").dropDuplicates(["id"]), parts, least_depth(percent)).filter(F.col("agree") >= percent - 17), "pairs")
+    one = classes.groupBy("id").agg(F.min_by(F.struct("sig", "n"), "digest").alias("c")).select("id", "c.sig", "c.n")
+    pairs = written(candidates(one.select("id", "sig"), parts, least_depth(percent)).filter(F.col("agree") >= percent - 17), "pairs")
     links, label, tables = joined(docs, pairs, None, None, percent)
-    component = classes.select("id", "sig", "n") if label is None else classes.select("id", "sig", "n").join(label, "id", "left")
+    component = one if label is None else one.join(label, "id", "left")
     component = component.withColumn("component", F.col("id") if label is None else F.coalesce("component", "id"))
-    more = written(crowded(docs, written(component.dropDuplicates(["id"]), "classes"), percent, least_depth(percent)), "links")
+    more = written(crowded(docs, written(component, "classes"), percent, least_depth(percent)), "links")
     if not more.isEmpty():
         links = more if links is None else links.unionByName(more)
         label = written(components(links), "components")

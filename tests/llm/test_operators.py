@@ -224,6 +224,24 @@ def test_a_crowd_is_joined_by_confirmed_links(spark, monkeypatch, chunk, size):
     assert len(links) < 20 * len(texts)  # a cell's links are fewer than its classes, not its pairs
 
 
+def test_several_texts_under_one_id(spark):
+    """In any order of rows and partitions the same of a doc_id's texts is compared; all of them meet equal ones."""
+    rng = random.Random(41)
+    texts = [prose(rng, 60) for _ in range(12)]
+    rows = [(i % 6, t) for i, t in enumerate(texts)] + [(20 + i, t + " end") for i, t in enumerate(texts)] + [(50, texts[11])]
+    found = []
+    for parts in (1, 3, 5):
+        rng.shuffle(rows)
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), 80).collect()
+        found.append(sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got))
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+    of = {i: c for i, _, c, _ in found[0]}
+    for i in range(6):
+        least = min((i, i + 6), key=lambda k: near_dedup.digest(near_dedup.shingles(texts[k], near_dedup.WordHashes()).tobytes()))
+        assert of[20 + least] == i and of[i] == i
+    assert of[50] == 5
+
+
 def test_near_duplicates_of_nothing(none):
     assert near_dedup.near_duplicates(none).count() == 0
 
