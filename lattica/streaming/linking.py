@@ -70,7 +70,7 @@ def _by_keyword(found: DataFrame) -> DataFrame:
 def build(notes: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """The tables of all ``notes`` (note_id, user_id, title, content_text, updated_at)."""
     every = stored(_cards(notes), "cards")
-    own = stored(links.strongest(links.overlaps(every, every)), "own")
+    own = stored(links.strongest(links.best_overlaps(every, every)), "own")
     for table, rows in (("index", _by_keyword(every)), ("own", own), ("held", own), ("cards", every)):
         _write(rows, path, table, buckets)
 
@@ -109,9 +109,9 @@ def apply(saved: DataFrame, gone: DataFrame | None, path: str, buckets: int = BU
     asked_words = _by_keyword(looking).select("user_id", "keyword").distinct()
     near = _read(spark, path, "index", _buckets_of(asked_words, "index", buckets)).join(asked_words, ["user_id", "keyword"], "left_semi")
     near = stored(near.drop("keyword", "bucket").dropDuplicates(["note_id"]), "near")
-    found = links.overlaps(looking, near)
+    found = links.best_overlaps(looking, near)
     others = near.join(looking.select("note_id"), "note_id", "left_anti")
-    gained = stored(links.overlaps(others, fresh), "gained")
+    gained = stored(links.best_overlaps(others, fresh), "gained")
 
     # New links: of those who look, all; of others, what they held and gained.
     touched = linked.unionByName(gained.select("source")).distinct().join(again.select(F.col("note_id").alias("source")), "source", "left_anti")
