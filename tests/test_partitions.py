@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lattica.operators import keywords
-from lattica.tables import parts_for
+from lattica.tables import dealt, parts_for
 
 
 def test_partitions_grow_with_files(spark, tmp_path):
@@ -15,3 +15,10 @@ def test_partitions_grow_with_files(spark, tmp_path):
     assert parts_for(held.limit(9)) >= parts_for(held, 1000) == least
     assert parts_for(held.filter("note_id > 3").join(held.select("note_id"), "note_id"), 1) > least
     assert keywords.term_counts(held.limit(10)).count() > 0
+
+
+def test_dealt_partitions_stay_apart(spark):
+    """Texts that are dealt out aren't put together again, also by adaptive plans with small partitions."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = dealt(spark.range(5_000).withColumn("text", F.repeat(F.lit("word "), 9)), "id", parts=least)
+    assert held.groupBy(F.spark_partition_id()).count().count() == least
