@@ -44,3 +44,10 @@ def test_only_asked_buckets_are_opened(spark, notes, tmp_path):
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert "gram" in plan.split("PushedFilters: [")[1].split("ReadSchema")[0]
     assert trigrams.grams(notes).groupBy("gram", "note_id").count().filter(F.col("count") > 1).isEmpty()
+
+
+def test_a_gram_of_a_note_is_no_row(spark, notes):
+    """Lists of a batch's notes are dealt out, not each gram of each note: the rows are fewer by far."""
+    assert trigrams.listed(notes.coalesce(1)).count() * 5 < trigrams.grams(notes).count()
+    odd = spark.createDataFrame([(1, "AbCd", "xä\nyz", ["t", "u1"], None), (2, None, None, None, None), (3, "", "bcd", [], ["k"])], "note_id long, title string, content_text string, tags array<string>, keywords array<string>")
+    assert {tuple(r) for r in trigrams.grams(odd).collect()} == {("abc", 1), ("bcd", 1), ("\nyz", 1), ("bcd", 3)}
