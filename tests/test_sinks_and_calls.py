@@ -114,3 +114,12 @@ def test_expressions_stay_in_the_engine(spark):
     """Names of notes are made without Python workers."""
     rows = spark.createDataFrame([(1, "a", "x")], FILE)
     assert "Python" not in note_files.with_own_names(rows, "md").select(F.col("file_name"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_are_opened_once_and_many_a_task(spark, tmp_path):
+    path = str(tmp_path / "many")
+    note_files.write_files(spark.range(600).select(F.col("id").alias("note_id"), F.concat(F.lit("n"), "id").alias("file_name"), F.lit(" x ").alias("body")), path, "txt")
+    found = src.read_files(spark, path)
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert found.filter("text = 'x'").count() == 600
