@@ -600,6 +600,50 @@ def test_all_lines_of_a_crowd_meet(spark, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_crowded_lines_are_compared_where_they_meet(spark, monkeypatch):
+    """With texts a crowded bucket hands on links alone, each once, the same as by verifying all its pairs; also with many chunks."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("aeionrst", k=rng.randint(2, 7)))
+    shared_words, lines = ["characteristically", "incomprehensible"], []
+    for size in (8, 60, 160):
+        for _ in range(12):
+            w = [word() for _ in range(size)]
+            at = size // 2
+            lines += [w[:at] + shared_words + w[at:], w[:at] + shared_words + w[at:-1], [word() for _ in range(size // 3)] + w[size // 3 : at] + shared_words + w[at:]]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(lines)], "doc_id long, text string")
+    sims = line_dedup.described(line_dedup.classes_of(line_dedup.lines_of(docs))).withColumn("most", F.lit(64)).cache()
+    key = sims.withColumn("keys", F.array(F.lit(1).cast("long"), F.lit(2).cast("long")))
+    bucket = line_dedup.shared_buckets(key).cache()
+    texts = line_dedup.texts_of(sims.select("class"), docs, sims)
+    every = line_dedup.crowded(bucket, None)
+    expected = sorted((r.a, r.b) for r in line_dedup.verified(every, docs, sims).collect())
+    assert 20 < len(expected) < every.count() / 4
+    for chunk in (4096, 7):
+        monkeypatch.setattr(line_dedup, "VERIFIED_CHUNK", chunk)
+        assert sorted((r.a, r.b) for r in line_dedup.crowded(bucket, None, texts=texts).collect()) == expected
+
+
+def test_beginnings_of_lines_lose_no_pair(spark):
+    """Pairs at every distance about the limit, edited at their start only, are alike as by brute force."""
+    rng = random.Random(5)
+    rows, expected = [], []
+    for n in (30, 101, 400):
+        for edits in (0, n // 5 - 1, n // 5, n // 5 + 1, n // 2):
+            for cut in (0, n // 10):
+                a = "".join(rng.choices("abcdefgh ", k=n))
+                b = "#" * edits + a[edits:][: n - edits - cut]
+                rows.append((a, len(a), None, b, len(b), None))
+                d = list(range(len(b) + 1))
+                for i, x in enumerate(a, 1):
+                    last, d[0] = d[0], i
+                    for j, y in enumerate(b, 1):
+                        last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (x != y))
+                expected.append(d[-1] <= n // 5)
+    pairs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id long, norm1 string, size1 int, coded1 string, norm2 string, size2 int, coded2 string")
+    got = [r.alike for r in pairs.select("id", line_dedup._alike(80).alias("alike")).orderBy("id").collect()]
+    assert got == expected and 5 < sum(got) < len(got)
+
+
 def test_simhash_is_the_majority(spark):
     import xxhash
 
