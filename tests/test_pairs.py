@@ -35,3 +35,34 @@ def test_colour_is_the_notes(spark):
     nodes = spark.createDataFrame([("u", "1", "note", "red")], "user_id string, id string, type string, colour string")
     edges = spark.createDataFrame([("u", "e", "1", "note-keyword"), ("u", "c", "kw_1_a", "cross-link")], "user_id string, id string, source string, type string")
     assert {r.id: r.colour for r in views.coloured_edges(nodes, edges).collect()} == {"e": "red", "c": None}
+
+
+def _metric(df, kind, name):
+    """The sum of a metric over the nodes of a kind, after ``df`` was written to nowhere."""
+    df.write.format("noop").mode("overwrite").save()
+    plan, total = df._jdf.queryExecution().executedPlan(), 0
+    df._jdf.queryExecution().toRdd().count()
+    left = [plan.finalPhysicalPlan() if hasattr(plan, "finalPhysicalPlan") else plan]
+    while left:
+        node = left.pop()
+        if node.nodeName().endswith("QueryStage"):
+            node = node.plan()
+        if kind in node.nodeName() and node.metrics().contains(name):
+            total += node.metrics().apply(name).value()
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def _common(spark, n, words):
+    rows = spark.range(n).selectExpr("'u' AS user_id", "id AS note_id", f"explode(sequence(1, {words})) AS rank")
+    return stored(rows.selectExpr("user_id", "note_id", "concat('k', rank) AS keyword", "rank"), "kw")
+
+
+def test_parts_of_a_keyword_travel_as_lists(spark, monkeypatch):
+    """Nine hundred notes of a keyword in ninety parts: what travels are lists for two parts each, not every note ninety times."""
+    monkeypatch.setattr(links, "PAIRED_TOGETHER", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert 0 < _metric(graph.global_edges(_common(spark, 900, 1)), "Exchange", "shuffleRecordsWritten") < 30_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
