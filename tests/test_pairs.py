@@ -58,6 +58,12 @@ def _common(spark, n, words):
     return stored(rows.selectExpr("user_id", "note_id", "concat('k', rank) AS keyword", "rank"), "kw")
 
 
+def test_related_notes_meet_once(spark, monkeypatch):
+    """Six hundred notes with ten equal keywords: parts meet, not a pair for each keyword that it shares."""
+    monkeypatch.setattr(links, "RELATED_TOGETHER", 100)
+    assert _metric(links.related(_common(spark, 600, 10)), "Join", "numOutputRows") < 5_000
+
+
 def test_parts_of_a_keyword_travel_as_lists(spark, monkeypatch):
     """Nine hundred notes of a keyword in ninety parts: what travels are lists for two parts each, not every note ninety times."""
     monkeypatch.setattr(links, "PAIRED_TOGETHER", 10)
@@ -66,3 +72,13 @@ def test_parts_of_a_keyword_travel_as_lists(spark, monkeypatch):
         assert 0 < _metric(graph.global_edges(_common(spark, 900, 1)), "Exchange", "shuffleRecordsWritten") < 30_000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("together", [3, 8_192])
+def test_related_equal_all_pairs(spark, monkeypatch, together):
+    monkeypatch.setattr(links, "RELATED_TOGETHER", together)
+    monkeypatch.setattr(links, "RELATED_AT_ONCE", 2)
+    words = {(u, 100 * u + i): {f"w{(i * 7 + u) % 5}", f"w{i % 11}", f"only{u}{i}"} for u in range(3) for i in range(1 + 13 * u)}
+    kw = spark.createDataFrame([(f"u{u}", n, w, 1) for (u, n), own in words.items() for w in own], "user_id string, note_id long, keyword string, rank int")
+    want = sorted((a, b) for (u, a), x in words.items() for (v, b), y in words.items() if u == v and a != b and x & y)
+    assert [tuple(r) for r in sorted(links.related(kw).collect())] == want
