@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import fixed
 from lattica.operators import keywords, links
-from lattica.tables import replace_buckets, stored
+from lattica.tables import replace_buckets, shuffles_dropped, stored
 
 CARD = "user_id string, note_id long, listed array<string>, rarest array<string>, split array<int>, updated_at timestamp"
 LINK = "user_id string, source long, target long, strength double, shared string, at_source timestamp, at_target timestamp, place int"
@@ -50,7 +50,8 @@ def _buckets_of(rows: DataFrame, table: str, buckets: int) -> list[int]:
 def _write(rows: DataFrame, path: str, table: str, buckets: int) -> None:
     names = [x.split()[0] for x in SCHEMAS[table].split(", ")]
     named = rows.select(*names, _bucket(table, buckets).alias("bucket"))
-    named.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/{table}")
+    with shuffles_dropped(rows.sparkSession):
+        named.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/{table}")
 
 
 def _replace(path: str, table: str, touched: list[int], left: DataFrame, new: DataFrame, buckets: int) -> None:
