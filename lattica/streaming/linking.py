@@ -61,7 +61,8 @@ def _replace(path: str, table: str, touched: list[int], left: DataFrame, new: Da
 
 
 def _cards(notes: DataFrame) -> DataFrame:
-    return links.cards(keywords.keywords(notes, keep=("updated_at",)))
+    # Cards count how many notes use a keyword, so they read the keywords twice: texts are cut once.
+    return links.cards(stored(keywords.keywords(notes, keep=("updated_at",)), "keywords"))
 
 
 def _by_keyword(found: DataFrame) -> DataFrame:
@@ -108,8 +109,15 @@ def apply(saved: DataFrame, gone: DataFrame | None, path: str, buckets: int = BU
 
     # Notes that share a keyword with any of them.
     asked_words = _by_keyword(looking).select("user_id", "keyword").distinct()
-    near = _read(spark, path, "index", _buckets_of(asked_words, "index", buckets)).join(asked_words, ["user_id", "keyword"], "left_semi")
-    near = stored(near.drop("keyword", "bucket").dropDuplicates(["note_id"]), "near")
+    asked_buckets = _buckets_of(asked_words, "index", buckets)
+    if len(asked_buckets) < buckets:
+        near = _read(spark, path, "index", asked_buckets).join(asked_words, ["user_id", "keyword"], "left_semi")
+        near = near.drop("keyword", "bucket").dropDuplicates(["note_id"])
+    else:  # nothing would stay closed, and the cards have a row for a note where the index has one for each keyword
+        near = _read(spark, path, "cards").drop("bucket").join(changed, "note_id", "left_anti").unionByName(fresh)
+        words = near.select("note_id", "user_id", F.explode("rarest").alias("keyword"))
+        near = near.join(words.join(asked_words, ["user_id", "keyword"], "left_semi").select("note_id"), "note_id", "left_semi")
+    near = stored(near, "near")
     found = links.best_overlaps(looking, near)
     others = near.join(looking.select("note_id"), "note_id", "left_anti")
     gained = stored(links.best_overlaps(others, fresh), "gained")
